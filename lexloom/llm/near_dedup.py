@@ -6,32 +6,34 @@ the Gap between MinHash and HyperLogLog", 2021): K = clip(floor(1 - log_b(min h)
 Registers of two sets merge by maximum and agree more often the more the sets overlap.
 
 1. Documents with the same shingle set collapse by a 128-bit set hash.
-2. Bands of registers are bucketed. Within a bucket every document is paired with the smallest id;
-   a document whose pair is refuted meets the smallest of the other refuted ones in the next round,
-   until nobody is left over. No bucket is capped and none needs all its pairs.
-3. The Jaccard similarity of a pair is estimated jointly from all registers and both set sizes by
-   maximum likelihood; pairs clearly below the threshold are dropped.
-4. The others are verified on the whole shingle sets; verified pairs are joined into groups.
+2. Bands of registers are bucketed. No bucket is capped, and none sends all its pairs on: within it the
+   maximum spanning forest by equal registers is kept, one edge less than it has documents. A
+   bucket too large for one task is cut into blocks, and every pair of blocks is a task.
+3. The Jaccard similarity of each edge is estimated jointly from all registers and both set sizes by
+   maximum likelihood; edges clearly below the threshold are dropped.
+4. The others are verified on the whole shingle sets; verified edges are joined into groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import _common as c
 from lexloom.llm.graph import components
 
 #: Production parameters: similarity from which two documents are near-duplicates, words of a shingle.
-THRESHOLD, SHINGLE = 0.6, 3
+THRESHOLD, SHINGLE = 0.55, 3
 #: Bands times rows = registers.
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 3
 #: Base, rate and truncation of the registers.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
-#: A pair whose estimate is so far below the threshold is not verified; 4 standard errors of 128 registers.
-SLACK = 0.17
+#: A pair whose estimate is so far below the threshold is not verified; 3 standard errors of 120 registers.
+SLACK = 0.14
+#: Documents of a bucket that one task compares.
+BLOCK = 4096
 _SALT = 0x5E75
 
 
@@ -120,11 +122,51 @@ def _band_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), BANDS))], ["key", "doc_id"])
 
 
-def _estimate_batches(batches):
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for x in ("ra", "rb"))
-        j = estimate(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(j)], ["u", "v", "j"])
+def _forest(k: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum spanning forest (Prim) by the number of equal registers, of edges with at least ``least``."""
+    n = len(k)
+    best, via = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    out = np.zeros(n, bool)
+    at, child, parent = 0, [], []
+    for _ in range(n - 1):
+        out[at] = True
+        same = (k == k[at]).sum(1)
+        closer = (same > best) & ~out
+        best[closer], via[closer] = same[closer], at
+        at = int(np.where(out, -2, best).argmax())
+        if best[at] >= least:
+            child.append(at)
+            parent.append(int(via[at]))
+    return np.array(child, int), np.array(parent, int)
+
+
+def _bucket_batches(threshold: float):
+    least = max(1, int((threshold - 2 * SLACK) * BANDS * ROWS))
+
+    def run(batches):
+        for batch in batches:
+            x, y = [], []
+            members = batch.column("members")
+            ids, ns, regs = members.values.field("doc_id").to_numpy(), members.values.field("n").to_numpy(), members.values.field("regs")
+            k = np.frombuffer(b"".join(regs.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+            at = members.offsets.to_numpy()
+            for i in range(len(batch)):
+                a, b = at[i], at[i + 1]
+                if b - a == 2:
+                    child, parent = np.array([1]), np.array([0])
+                else:
+                    child, parent = _forest(k[a:b], least)
+                x.append(child + a)
+                y.append(parent + a)
+            if not x:
+                continue
+            x, y = np.concatenate(x), np.concatenate(y)
+            j = estimate(k[x], k[y], ns[x], ns[y])
+            x, y = x[j >= threshold - SLACK], y[j >= threshold - SLACK]
+            u, v = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
 
 
 def _shingle_batches(batches):
@@ -161,31 +203,20 @@ def near_edges(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOL
     reps = sk.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"))
     same = sk.join(reps.withColumnRenamed("doc_id", "v"), ["s1", "s2", "n"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v", F.lit(1.0).alias("j"))
     regs = c.materialize(spark, sk.join(reps, ["s1", "s2", "n", "doc_id"], "left_semi").dropDuplicates(["s1", "s2", "n"]).select("doc_id", "n", "regs"))
-    left = regs.select("doc_id", "regs").mapInArrow(_band_batches, "key bigint, doc_id bigint").distinct()
-    good, seen = [], None
-    while True:
-        # whoever is still open in a bucket meets its smallest open id
-        low = left.groupBy("key").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
-        open_ = c.materialize(spark, left.join(low, "key").where("doc_id <> v").select("key", F.col("doc_id").alias("u"), "v"))
-        if open_.isEmpty():
-            break
-        pairs = open_.select("u", "v").distinct()
-        known = pairs.join(seen, ["u", "v"], "left_anti") if seen is not None else pairs
-        ra = regs.select(F.col("doc_id").alias("u"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-        rb = regs.select(F.col("doc_id").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-        judged = known.join(ra, "u").join(rb, "v").select("u", "v", "na", "nb", "ra", "rb").mapInArrow(_estimate_batches, "u bigint, v bigint, j double")
-        judged = c.materialize(spark, judged)
-        good.append(judged.where(F.col("j") >= threshold - SLACK).select("u", "v"))
-        seen = judged.select("u", "v", "j") if seen is None else seen.union(judged.select("u", "v", "j"))
-        # a surely near pair settles the document in this bucket; any other stays open
-        settled = seen.where(F.col("j") >= threshold + SLACK).select("u", "v")
-        left = open_.join(settled, ["u", "v"], "left_anti").select("key", F.col("u").alias("doc_id"))
-    if not good:
-        return same
-    cand = good[0]
-    for g in good[1:]:
-        cand = cand.union(g)
-    cand = c.materialize(spark, cand.distinct())
+    rows = regs.select("doc_id", "regs").mapInArrow(_band_batches, "key bigint, doc_id bigint")
+    full = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
+    buckets = full.groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).where("size(ids) > 1")
+    # a group of copies fills the same bucket in most bands: each set of documents is compared once
+    buckets = buckets.select("ids").distinct().withColumn("b", F.xxhash64("ids"))
+    last = F.floor((F.size("ids") - 1) / BLOCK).cast("int")
+    cell = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("cell")
+    cells = buckets.select("b", "ids", cell)
+    part = lambda k: F.slice("ids", k * BLOCK + 1, F.lit(BLOCK))
+    both = F.when(F.col("cell.i") == F.col("cell.j"), part(F.col("cell.i"))).otherwise(F.concat(part(F.col("cell.i")), part(F.col("cell.j"))))
+    members = cells.select("b", "cell.i", "cell.j", F.explode(both).alias("doc_id"))
+    grouped = members.join(regs, "doc_id").groupBy("b", "i", "j").agg(F.collect_list(F.struct("doc_id", "n", "regs")).alias("members")).where("size(members) > 1")
+    cand = grouped.select("members").mapInArrow(_bucket_batches(threshold), "u bigint, v bigint").distinct()
+    cand = c.materialize(spark, cand)
     ids = c.materialize(spark, cand.select(F.col("u").alias("i")).union(cand.select("v")).distinct())
     wanted = c.by_ids(c.id_text(docs).where("doc_id is not null"), ids, "left_semi")
     sets = wanted.mapInArrow(_shingle_batches, "doc_id bigint, s array<bigint>")

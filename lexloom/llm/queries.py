@@ -6,7 +6,7 @@ compare them with brute force, round trips and held-out accuracy instead.
 
 from __future__ import annotations
 
-from lexloom.llm import near_dedup
+from lexloom.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from lexloom.llm._common import read
 
 
@@ -14,5 +14,21 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(spark, read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(spark, read(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack(spark, read(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_classifier(spark, sf_dir):
+    return quality.classify(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op5_line_dedup, op7_packing, op8_benchmark_decontamination, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
