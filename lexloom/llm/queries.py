@@ -6,18 +6,34 @@ compare them with brute force, round trips and held-out accuracy instead.
 
 from __future__ import annotations
 
-from lexloom.llm import decontaminate, line_dedup, near_dedup, packing, quality
+from lexloom.llm import ann, decontaminate, html_extract, language_id, line_dedup, near_dedup, packing, pii, quality, url_filter
 from lexloom.llm._common import read
 
 
+def op1_pii(spark, sf_dir):
+    return pii.find_pii(spark, read(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(spark, read(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(spark, read(spark, sf_dir, "pages"))
+
+
+def op4_approximate_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(spark, read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    return language_id.identify(spark, read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(spark, read(spark, sf_dir, "documents"))
 
@@ -26,9 +42,14 @@ def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contaminated(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_html_extraction(spark, sf_dir):
+    return html_extract.extract(spark, read(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark, sf_dir):
     return quality.classify(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op5_line_dedup, op7_packing, op8_benchmark_decontamination, op10_quality_classifier)}
+_ALL = (op1_pii, op2_minhash_near_dedup, op3_url_filter, op4_approximate_nearest_neighbours, op5_line_dedup, op6_language_id, op7_packing, op8_benchmark_decontamination, op9_html_extraction, op10_quality_classifier)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
