@@ -201,7 +201,7 @@ def nearest(spark: SparkSession, embeddings: DataFrame, k: int = K, part_rows: i
     asked = routed.select("vec_id", "v", F.explode("probes").alias("part"))
     # a part that many queries probe is reranked by several tasks
     tasks = F.broadcast(asked.groupBy("part").agg(F.ceil(F.count("*") / TASK_QUERIES).cast("int").alias("tasks")))
-    queries = asked.join(tasks, "part").select("part", F.pmod(F.xxhash64("vec_id"), "tasks").cast("int").alias("task"), "vec_id", "v")
+    queries = asked.join(tasks, "part").select(F.col("part").alias("q_part"), F.pmod(F.xxhash64("vec_id"), "tasks").cast("int").alias("q_task"), F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"))
     stored = routed.select(F.col("probes")[0].alias("part"), "vec_id", "v").join(tasks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "vec_id", "v")
 
     def rerank(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
@@ -209,7 +209,7 @@ def nearest(spark: SparkSession, embeddings: DataFrame, k: int = K, part_rows: i
             return pd.DataFrame({"vec_id": [], "found": []})
         data = data.sort_values("vec_id")
         x, ids = _unpack(data["v"], dim).astype(np.float64), data["vec_id"].to_numpy()
-        q, qids = _unpack(ask["v"], dim).astype(np.float64), ask["vec_id"].to_numpy()
+        q, qids = _unpack(ask["q_v"], dim).astype(np.float64), ask["q_id"].to_numpy()
         mean = x.mean(0)
         x, q = x - mean, q - mean
         sq, out = (x * x).sum(1), []
@@ -228,6 +228,6 @@ def nearest(spark: SparkSession, embeddings: DataFrame, k: int = K, part_rows: i
                 out.append([{"distance": float(e[o]), "id": int(ids[near[o]])} for o in order])
         return pd.DataFrame({"vec_id": qids, "found": out})
 
-    found = stored.groupBy("part", "task").cogroup(queries.groupBy("part", "task")).applyInPandas(rerank, "vec_id bigint, found array<struct<distance: double, id: bigint>>")
+    found = stored.groupBy("part", "task").cogroup(queries.groupBy("q_part", "q_task")).applyInPandas(rerank, "vec_id bigint, found array<struct<distance: double, id: bigint>>")
     merged = found.groupBy("vec_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("f"))
     return merged.select("vec_id", F.transform("f", lambda x: x["id"]).alias("neighbours"), F.transform("f", lambda x: x["distance"]).alias("distances"))
