@@ -103,7 +103,7 @@ def test_sample_dump_and_cli(spark, tmp_path, capsys):
     out = str(tmp_path / "s")
     dump.write_sample_dump(spark, out, "== A ==\n\nx & {{t}} <ref>y</ref>", 10)
     assert dump.read_dump(spark, out).count() == 10
-    src = write(tmp_path / "d.xml", page("A", "clean") + page("B", "{{t}} warned") + page("C", "{|\n| colspan=2 | x\n|}") + page("Talk", "{{t}}", "1"))
+    src = write(tmp_path / "d.xml", page("A", "clean") + page("B", "warned {{t}}") + page("C", "{|\n| colspan=2 | x\n|}") + page("Talk", "{{t}}", "1"))
     assert cli.main(["--input", src, "--stats"], spark) == 0
     assert "pages=3 clean=3 (100.0%) zero-diag=1 (33.3%) warned=1 unsupported=1" in capsys.readouterr().err
     assert cli.main(["--input", src, "--output", str(tmp_path / "o"), "--format", "jsonl", "--fail-on", "unsupported"], spark) == 1
