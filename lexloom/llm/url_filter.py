@@ -20,7 +20,9 @@ _BAD_HOSTS = (
     "spam-offers.example.com best-spam.example.net spam-links.example.org farm-of-links.example.com link-farm.example.net cheap-meds.example.com pills-online.example.org buy-cheap-pills.example.net "
     "cheap-viagra.example.com online-casino.example.com casino-bonus.example.net free-casino-spins.example.org poker-win.example.com xxx-videos.example.com adult-cams.example.net hot-porn.example.org "
     "payday-loans.example.com fast-cash-loan.example.net win-free-prize.example.org free-iphone.example.com replica-watches.example.net cheap-replica.example.com seo-backlinks.example.org keyword-stuffing.example.com "
-    "click-bait-ads.example.net popup-ads.example.com malware-download.example.org crack-serial.example.net warez-torrent.example.com get-rich-quick.example.org crypto-doubler.example.com phish-login.example.net"
+    "click-bait-ads.example.net popup-ads.example.com malware-download.example.org crack-serial.example.net warez-torrent.example.com get-rich-quick.example.org crypto-doubler.example.com phish-login.example.net "
+    "sports-betting.example.org best-bets.example.net bet-now.example.org live-bets-online.example.com adult-dating.example.org adult-shop.example.com adult-x-rated.example.org "
+    "ad-tracker.example.com ads-server.example.org track-ads.example.net adserve-click.example.org tracking-pixel.example.net"
 ).split()
 _GOOD_HOSTS = (
     "www.example.com news.example.org blog.example.net docs.example.com m.example.org library.example.edu university.example.edu museum.example.org weather.example.com science.example.net "
@@ -30,7 +32,8 @@ _GOOD_HOSTS = (
 ).split()
 _PATHS = ("/", "/en/12", "/de/345/", "/fr/67.html", "/es/890?page=2&ref=x", "/en/741?utm_source=feed", "/article/2020/05/title.html", "/about", "/en/33#top")
 _BAD_PATHS = ("/cheap-pills/buy-now", "/casino/bonus?aff=99", "/xxx/free", "/win-prize.php?id=1", "/viagra-online", "/spam/links.html")
-#: (url, bad): the default labelled table.
+#: (url, bad): the default labelled table. Bad hosts are of the usual block-list categories: spam and link farms,
+#: pharmacy, gambling, adult, loans and prizes, counterfeits, advertising and tracking, malware.
 LABELLED = (
     [(f"https://{h}{_PATHS[i % len(_PATHS)]}", 1) for i, h in enumerate(_BAD_HOSTS)]
     + [(f"http://{h}{p}", 0) for i, h in enumerate(_GOOD_HOSTS) for p in (_PATHS[i % len(_PATHS)], _PATHS[(i + 4) % len(_PATHS)])]
