@@ -58,6 +58,19 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def keep_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` for which ``keep(texts)``, a boolean array for an Arrow column of texts, holds. Columns go
+    by position, so that any names will do."""
+    at = docs.columns.index(text_col)
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at))))
+
+    return flat.mapInArrow(run, flat.schema).toDF(*docs.columns)
+
+
 def by_ids(docs: DataFrame, ids: DataFrame, how: str, n_ids: int | None = None, key: str = "doc_id") -> DataFrame:
     """Semi- or anti-join of ``docs`` on a table of distinct ids. The ids are broadcast only when
     they are counted to be few; beyond that Spark shuffles both sides."""

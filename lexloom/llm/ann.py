@@ -79,7 +79,7 @@ def balanced_parts(graph: np.ndarray, parts: int, sweeps: int = 8) -> np.ndarray
         moved = 0
         for v in range(n):
             votes = np.bincount(part[back[v]], minlength=parts)
-            votes = np.where(count < room * SLACK, votes, -1)
+            votes = np.where(count + 1 <= room * SLACK, votes, -1)
             to = int(votes.argmax())
             if to != part[v] and votes[to] > np.sum(part[back[v]] == part[v]):
                 count[part[v]] -= 1

@@ -139,17 +139,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, th
     """The rows of ``docs``, unchanged, that hold no item. Judged row by row, so a NULL doc_id is no escape."""
 
     def keep(index):
-        def run(batches):
-            for batch in batches:
-                data, offsets = c.utf8(batch.column(batch.schema.get_field_index("text")))
-                ok = np.ones(len(batch), bool)
-                for i, j in c.chunks(offsets):
-                    for r, _, _ in index.value.matches(c.Words(data, offsets[i : j + 1]), threshold):
-                        ok[i + r] = False
-                yield batch.filter(pa.array(ok))
+        def judge(texts):
+            data, offsets = c.utf8(texts)
+            ok = np.ones(len(texts), bool)
+            for i, j in c.chunks(offsets):
+                for r, _, _ in index.value.matches(c.Words(data, offsets[i : j + 1]), threshold):
+                    ok[i + r] = False
+            return ok
 
-        return run
+        return judge
 
     for index in _indexes(spark, benchmark, per_pass):
-        docs = docs.mapInArrow(keep(index), docs.schema)
+        docs = c.keep_rows(docs, keep(index))
     return docs

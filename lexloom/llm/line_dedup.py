@@ -224,11 +224,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_block: int = MIN_BLOCK
     firsts = c.materialize(spark, pairs.select("v").distinct())
     words = c.by_ids(c.id_text(docs).where("doc_id is not null"), firsts, "left_semi").mapInArrow(_words_batches, "v bigint, lines array<int>, firsts array<int>, words array<int>").dropDuplicates(["v"])
     parts = pairs.join(words, "v").groupBy(F.col("u").alias("__lx_u")).agg(F.sort_array(F.collect_list(F.struct("v", "lines", "firsts", "words"))).alias("parts"))
-    row = F.struct(*[docs[n] for n in docs.columns])
-    whole = docs.select(row.alias("row"), docs["doc_id"].cast("bigint").alias("__lx_id"), docs["text"].alias("text"))
-    joined = whole.join(parts.hint("shuffle_hash"), F.col("__lx_id") == F.col("__lx_u"), "left").select(F.col("row").dropFields("text").alias("row"), "text", "parts")
+    # columns go by position, so that any names will do
+    names = docs.columns
+    flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    whole = flat.select(F.struct(*(x for x in flat.columns if x != f"c{names.index('text')}")).alias("row"), doc_id.cast("bigint").alias("__lx_id"), text.cast("string").alias("text"))
+    joined = whole.join(parts.hint("shuffle_hash"), F.col("__lx_id") == F.col("__lx_u"), "left").select("row", "text", "parts")
     kind = next(f for f in joined.schema.fields if f.name == "row").dataType
     out = joined.mapInArrow(_cut_batches(min_block), T.StructType([T.StructField("row", kind), T.StructField("text", T.StringType()), T.StructField("removed_words", T.LongType())]))
     out = out.where("removed_words = 0 or text <> ''")
-    cols = [F.col("text") if n == "text" else F.when(F.col("removed_words") > 0, F.length("text")).otherwise(F.col(f"row.`{n}`")).cast(docs.schema[n].dataType).alias(n) if n == "n_chars" else F.col(f"row.`{n}`").alias(n) for n in docs.columns if n != "removed_words"]
+    cols = []
+    for i, n in enumerate(names):
+        old = F.col(f"row.c{i}") if n != "text" else F.col("text")
+        if n == "n_chars":
+            old = F.when(F.col("removed_words") > 0, F.length("text")).otherwise(old)
+        if n != "removed_words":
+            cols.append(old.cast(flat.schema[i].dataType).alias(n))
     return out.select(*cols, "removed_words")

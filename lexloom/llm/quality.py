@@ -167,9 +167,4 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, that the classifier keeps."""
     model = spark.sparkContext.broadcast(fit(spark, docs, labels))
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_probabilities(model.value, batch.column(batch.schema.get_field_index("text")))[:, 0] >= KEEP))
-
-    return docs.mapInArrow(run, docs.schema)
+    return c.keep_rows(docs, lambda texts: _probabilities(model.value, texts)[:, 0] >= KEEP)
