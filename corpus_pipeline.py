@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks that an earlier document has."""
-    return line_dedup.dedup_lines(spark, docs).select(*docs.columns)
+    return line_dedup.dedup_lines(spark, docs).select(*("`" + n.replace("`", "``") + "`" for n in docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
