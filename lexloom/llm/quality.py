@@ -22,7 +22,9 @@ CLASSES = ("good", "low", "toxic")
 #: Bound of the labelled sample (rows of each class), taken by hash of doc_id from all labelled rows. Texts
 #: longer than MAX_TRAIN_BYTES take no part in training; scoring reads every text whole.
 SAMPLE, MAX_TRAIN_BYTES = 2000, 20_000
-BITS, DIM, EPOCHS, RATE = 17, 8, 8, 0.5
+BITS, DIM, EPOCHS, RATE = 17, 8, 5, 0.5
+#: Training documents that a feature must occur in; rarer ones would only memorise single documents and score nothing.
+MIN_DOCS = 5
 #: A document is kept from this probability of being good.
 KEEP = 0.7
 GRAMS = (3, 5)
@@ -71,6 +73,12 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     bias = np.zeros(k, np.float32)
     ge, gw, gb = np.full(len(e), 1e-8, np.float32), np.full(w.shape, 1e-2, np.float32), np.full(k, 1e-2, np.float32)
     data = [_sparse(t) for t in texts]
+    seen = np.zeros(len(e), np.int32)
+    for idx, _ in data:
+        seen[idx] += 1
+    common = seen >= MIN_DOCS
+    e[~common] = 0
+    data = [(idx[common[idx]], wgt[common[idx]]) for idx, wgt in data]
     for epoch in range(epochs):
         step = rate * (1 - 0.8 * epoch / max(1, epochs))
         for i in rng.permutation(len(data)):
