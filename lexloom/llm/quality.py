@@ -59,9 +59,9 @@ def _sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
     for b, _ in feature_sets(raw, np.array([0, len(raw)])):
         if len(b):
             u, n = np.unique(b, return_counts=True)
-            idx.append(u)
-            wgt.append(n / len(b))
-    return (np.concatenate(idx), np.concatenate(wgt).astype(np.float32)) if idx else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+            idx.append(u.astype(np.int32))
+            wgt.append((n / len(b)).astype(np.float32))
+    return (np.concatenate(idx), np.concatenate(wgt)) if idx else (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> np.ndarray:
@@ -78,7 +78,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
         seen[idx] += 1
     common = seen >= MIN_DOCS
     e[~common] = 0
-    data = [(idx[common[idx]], wgt[common[idx]]) for idx, wgt in data]
+    for i, (idx, wgt) in enumerate(data):  # in place: the driver never holds two copies
+        data[i] = idx[common[idx]], wgt[common[idx]]
     for epoch in range(epochs):
         step = rate * (1 - 0.8 * epoch / max(1, epochs))
         for i in rng.permutation(len(data)):
