@@ -6,6 +6,8 @@ backtracking nor the stack grows with the text.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,17 @@ _LINK = r"(?s)(.*?)(\[\[.*?(?:\]\]|\z)|\[(?=http).*?(?:\]|\z)|\z)"
 _ENTITY = r"(?s)([^&]*+)(&(?:#[xX]\+?[0-9a-fA-F]{1,8}|#\+?[0-9]{1,9}|" + "|".join(ENTITIES) + r");|&|\z)"
 
 
+def _once(f):
+    """A pass that reads its argument several times evaluates it once: the argument is bound as a lambda variable, where
+    a composed pass would otherwise repeat all that come before it."""
+
+    @wraps(f)
+    def bound(c: Column) -> Column:
+        return F.get(F.transform(F.array(c), f), F.lit(0))
+
+    return bound
+
+
 def trim_ws(c: Column) -> Column:
     """Unicode white space off both ends; a run of it is looked at once, from its first."""
     return F.regexp_replace(F.regexp_replace(c, rf"(?<!{_WS}){_WS}++\z", ""), rf"\A{_WS}++", "")
@@ -36,11 +49,13 @@ def _groups(c: Column, pattern: str) -> Column:
     return F.zip_with(F.regexp_extract_all(c, F.lit(pattern), 1), F.regexp_extract_all(c, F.lit(pattern), 2), lambda t, m: F.struct(t.alias("t"), m.alias("m")))
 
 
+@_once
 def strip_comments_refs(c: Column) -> Column:
     """Without comments and refs; nowiki elements leave their inner text. A ref tag that never closes stays."""
     return F.when(c.contains("<"), F.regexp_replace(c, _COMMENTS, "$1$2")).otherwise(c)
 
 
+@_once
 def strip_templates_tables(c: Column) -> Column:
     """Only what is outside every template and table; one depth counter for both; an open one drops the rest."""
     start = F.struct(F.lit(0).alias("d"), F.lit("").alias("o"))
@@ -55,6 +70,7 @@ def strip_templates_tables(c: Column) -> Column:
     return F.when(c.contains("{{") | c.contains("{|"), folded).otherwise(c)
 
 
+@_once
 def strip_links(c: Column) -> Column:
     """Links become their text: after the last pipe, or after an address; media, categories and bare addresses vanish."""
 
@@ -73,6 +89,7 @@ def strip_links(c: Column) -> Column:
     return F.when(c.contains("["), out).otherwise(c)
 
 
+@_once
 def strip_tags(c: Column) -> Column:
     """Without tags; from the first that never closes everything stays."""
     return F.when(c.contains("<"), F.regexp_replace(c, rf"(?s)<{TAG_REST}|(<.*)", "$1")).otherwise(c)
@@ -81,11 +98,14 @@ def strip_tags(c: Column) -> Column:
 def strip_markup(c: Column) -> Column:
     """Line by line: heading signs or leading list signs, quote marks of emphasis, tags."""
 
-    def line(x: Column) -> Column:
-        t = trim_ws(x)
+    @_once
+    def inner(t: Column) -> Column:
         head = (F.length(t) > 2) & t.startswith("=") & t.endswith("=")
-        inner = trim_ws(F.regexp_replace(F.regexp_replace(t, r"\A=++", ""), r"(?<!=)=++\z", ""))
-        body = F.when(head, inner).otherwise(F.regexp_replace(t, r"\A[*#:; ]++", ""))
+        title = trim_ws(F.regexp_replace(F.regexp_replace(t, r"\A=++", ""), r"(?<!=)=++\z", ""))
+        return F.when(head, title).otherwise(F.regexp_replace(t, r"\A[*#:; ]++", ""))
+
+    def line(x: Column) -> Column:
+        body = inner(trim_ws(x))
         for mark in ("'''''", "'''", "''"):
             body = F.replace(body, F.lit(mark), F.lit(""))
         return strip_tags(body)
@@ -99,6 +119,7 @@ def collapse_blank_lines(c: Column) -> Column:
     return trim_ws(F.regexp_replace(x, r"\n{3,}+", "\n\n"))
 
 
+@_once
 def decode_entities(c: Column) -> Column:
     """Known names and numbers, once; a no-break space becomes a space; anything else stays."""
     names = F.create_map(*[F.lit(x) for k, v in ENTITIES.items() for x in (k, " " if v == 0xA0 else chr(v))])
@@ -128,10 +149,7 @@ def strip(c: Column) -> Column:
 
 def looks_clean(c: Column) -> Column:
     """No bracket pair of wikitext is left."""
-    clean = F.lit(True)
-    for mark in RESIDUALS:
-        clean = clean & ~c.contains(mark)
-    return clean
+    return ~c.rlike(r"\{\{|\}\}|\[\[|\]\]|\{\||\|\}")
 
 
 def is_nonprose_target(c: Column) -> Column:
