@@ -4,10 +4,12 @@ A "line" is a maximal run of words with no newline or sentence ender between the
 content-defined words, so that a passage keeps its lines when it is re-flowed or set into the
 middle of other text.
 
-1. Every line of enough words names the first document (smallest doc_id) that holds it. A document
-   and a first holder that share enough line words are an overlapping pair. So a line that a
-   million documents share makes a million pairs and not a million squared, and each line that
-   is deleted anywhere stays in its first holder.
+1. Every block of MIN_BLOCK words names the first document (smallest doc_id) that holds it; a document
+   and a first holder of any of its blocks are an overlapping pair. So a block that a million
+   documents share makes a million pairs and not a million squared, and each block that is deleted
+   anywhere stays in its first holder. Only blocks that can be shared are shuffled: each block has a
+   mark, the least hash of its windows of half the words (winnowing, Schleimer et al. 2003), equal
+   blocks have equal marks, and blocks whose mark only one document has are left out.
 2. The two documents are aligned by patience diff: lines that are unique in both are anchors, their
    longest increasing chain is kept, each anchor grows to a block of equal words; this is
    repeated for what is not yet covered, so that moved blocks are found too.
@@ -20,14 +22,15 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm import _common as c
 
-#: Production parameters: words of a block that is deleted; of a line that names a pair; of all lines that make a pair.
-MIN_BLOCK, MIN_LINE, MIN_SHARED = 40, 4, 12
+#: Production parameter: words of a block that is deleted.
+MIN_BLOCK = 40
 _CUT = np.uint64(15)
 _BREAK = np.zeros(256, bool)
 for _ch in b"\n\r.!?":
@@ -56,31 +59,89 @@ class Lines(c.Words):
         self.line_at = np.searchsorted(self.first, self.at)
 
 
-def _line_batches(min_line: int):
+def _grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every window of k words, across rows too."""
+    n = len(hashes)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    up, down = c._powers(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n])])
+    return c.mix((total[k:] - total[:-k]) * down[: n - k + 1])
+
+
+def _marks(hashes: np.ndarray, block: int) -> np.ndarray:
+    """The mark of every window of ``block`` words: the least hash of its windows of half as many."""
+    half = max(1, block // 2)
+    low, size, span = _grams(hashes, half), 1, block - half + 1
+    while 2 * size <= span:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    rest = span - size
+    return np.minimum(low[:-rest], low[rest:]) if rest else low
+
+
+def _block_rows(x: c.Words, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the windows of ``block`` words that lie within a row, and their rows."""
+    n = max(0, len(x.hash) - block + 1)
+    row = np.repeat(np.arange(len(x.at) - 1), np.diff(x.at))[:n]
+    at = np.flatnonzero(np.arange(n) + block <= x.at[1:][row])
+    return at, row[at]
+
+
+def _distinct(h: np.ndarray, doc: np.ndarray, name: str) -> pa.RecordBatch:
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(doc[new], pa.int64())], [name, "doc_id"])
+
+
+def _mark_batches(block: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = c.utf8(batch.column("text"), lower=False)
             for i, j in c.chunks(offsets):
                 x = Lines(data, offsets[i : j + 1])
-                doc = np.repeat(ids[i:j], np.diff(x.line_at))
-                ok = x.size >= min_line
-                h, doc, size = x.line[ok], doc[ok], x.size[ok]
-                order = np.lexsort((doc, h))
-                h, doc, size = h[order], doc[order], size[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(doc[new], pa.int64()), pa.array(size[new].astype(np.int32))], ["line", "doc_id", "size"])
+                at, row = _block_rows(x, block)
+                if len(at):
+                    h = _marks(x.hash, block)[at]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                    yield _distinct(h[new], ids[i:j][row[new]], "mark")
+
+    return run
+
+
+def _block_batches(block: int):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            data, offsets = c.utf8(batch.column("text"), lower=False)
+            for i, j in c.chunks(offsets):
+                x = Lines(data, offsets[i : j + 1])
+                at, row = _block_rows(x, block)
+                if not len(at):
+                    continue
+                shared = batch.column("marks").slice(i, j - i)
+                salt = c.mix(np.arange(1, j - i + 1, dtype=np.uint64))  # a mark counts for its own document
+                theirs = np.repeat(salt, pc.fill_null(pc.list_value_length(shared), 0).to_numpy(zero_copy_only=False))
+                ok = np.isin(_marks(x.hash, block)[at] ^ salt[row], shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ theirs)
+                yield _distinct(_grams(x.hash, block)[at[ok]], ids[i:j][row[ok]], "block")
 
     return run
 
 
-def overlapping_pairs(docs: DataFrame, min_line: int = MIN_LINE, min_shared: int = MIN_SHARED) -> DataFrame:
-    """(u, v): a document u and an earlier one v that is the first holder of enough of its lines."""
-    lines = c.id_text(docs).where("doc_id is not null").mapInArrow(_line_batches(min_line), "line bigint, doc_id bigint, size int")
-    first = lines.groupBy("line").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("v < last").drop("last")
-    shared = lines.join(first, "line").where("v < doc_id")
-    return shared.groupBy(F.col("doc_id").alias("u"), "v").agg(F.sum("size").alias("w")).where(F.col("w") >= min_shared).select("u", "v")
+def overlapping_pairs(spark: SparkSession, docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
+    """(u, v): a document u and an earlier one v that is the first holder of a block of ``min_block`` of its words."""
+    texts = c.id_text(docs).where("doc_id is not null")
+    marks = texts.mapInArrow(_mark_batches(min_block), "mark bigint, doc_id bigint")
+    one = Window.partitionBy("mark")
+    shared = marks.select("doc_id", "mark", F.min("doc_id").over(one).alias("v"), F.max("doc_id").over(one).alias("last")).where("v < last")
+    shared = c.materialize(spark, shared.groupBy(F.col("doc_id").alias("__lx_u")).agg(F.collect_set("mark").alias("marks")))
+    held = texts.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("__lx_u")).select("doc_id", "text", "marks")
+    blocks = held.mapInArrow(_block_batches(min_block), "block bigint, doc_id bigint")
+    return blocks.select(F.col("doc_id").alias("u"), F.min("doc_id").over(Window.partitionBy("block")).alias("v")).where("v < u").distinct()
 
 
 def _words_batches(batches):
@@ -220,7 +281,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_block: int = MIN_BLOCK
     unchanged. Rows that repeat a doc_id are one document, not compared with each other. Of
     documents with equal texts the smallest doc_id keeps it. An empty table gives no rows.
     """
-    pairs = c.materialize(spark, overlapping_pairs(docs))
+    pairs = c.materialize(spark, overlapping_pairs(spark, docs, min_block))
     firsts = c.materialize(spark, pairs.select("v").distinct())
     words = c.by_ids(c.id_text(docs).where("doc_id is not null"), firsts, "left_semi").mapInArrow(_words_batches, "v bigint, lines array<int>, firsts array<int>, words array<int>").dropDuplicates(["v"])
     parts = pairs.join(words, "v").groupBy(F.col("u").alias("__lx_u")).agg(F.sort_array(F.collect_list(F.struct("v", "lines", "firsts", "words"))).alias("parts"))

@@ -121,6 +121,16 @@ def test_align_moved_blocks(spark):
     assert words(got[2]) == words("own start here own middle part own end")
 
 
+def test_line_dedup_short_lines(spark):
+    menu = "\n".join(f"item{i} price" for i in range(30))
+    table = "\n".join(f"{i}.{i * 7 % 10} {i + 1}" for i in range(40))
+    junk = "WORD!! " * 60
+    near = "a start of its own here. " + menu + "\nand an end"
+    df = spark.createDataFrame(list(enumerate([menu, table, junk, menu, table, junk, near])), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark, df).collect()}
+    assert sorted(got) == [0, 1, 2, 6] and words(got[6].text) == words("a start of its own here and an end")
+
+
 def test_decontamination(spark, docs, texts):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     sets = {d: grams(t, decontaminate.SHINGLE) for d, t in texts.items()}
