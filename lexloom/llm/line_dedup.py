@@ -12,7 +12,8 @@ middle of other text.
    blocks have equal marks, and blocks whose mark only one document has are left out.
 2. The two documents are aligned by patience diff: lines that are unique in both are anchors, their
    longest increasing chain is kept, each anchor grows to a block of equal words; this is
-   repeated for what is not yet covered, so that moved blocks are found too.
+   repeated for what is not yet covered, so that moved blocks are found too. Equal blocks that no
+   anchor lies in (few line ends, repeated lines) are found by their hashes.
 3. Aligned common blocks of enough words are deleted from the later document.
 """
 
@@ -209,7 +210,7 @@ def align(lines, firsts, words, other_lines, other_firsts, other_words, covered,
         # lines that are unique on both sides; where there are none, the first of each
         anchors = [(i, h) for i, h in todo if count[h] == 1 and times[h] == 1] or [(i, h) for h, i in head.items()]
         if not anchors:
-            return
+            break
         chain = [anchors[k] for k in _longest_increasing([place[h] for _, h in anchors])]
         spent = {i for i, _ in chain}
         for i, h in chain:
@@ -221,6 +222,14 @@ def align(lines, firsts, words, other_lines, other_firsts, other_words, covered,
             if ahead + behind >= min_block:
                 covered[a - behind : a + ahead] = True
         todo = [(i, h) for i, h in todo if i not in spent]
+    if covered.all():
+        return
+    mine, theirs = (_grams(x.view(np.uint32).astype(np.uint64), min_block) for x in (words, other_words))
+    edge = np.zeros(len(words) + 1, np.int64)
+    hit = np.flatnonzero(np.isin(mine, theirs))
+    edge[hit] += 1
+    edge[hit + min_block] -= 1
+    covered |= np.cumsum(edge[:-1]) > 0
 
 
 def _cut_batches(min_block: int):

@@ -131,6 +131,30 @@ def test_line_dedup_short_lines(spark):
     assert sorted(got) == [0, 1, 2, 6] and words(got[6].text) == words("a start of its own here and an end")
 
 
+def test_line_dedup_first_holders_of_parts(spark):
+    lines = [" ".join(f"p{i}w{j}" for j in range(10)) for i in range(6)]
+    passage = ". ".join(lines)
+    bare = " ".join(f"q{j}" for j in range(55))  # no sentence end
+    rows = [(i, f"own{i} text before. {x}. own{i} text after.") for i, x in enumerate(lines)]
+    rows += [(10, f"ten says. {passage}. ten ends"), (11, f"eleven said. {passage}. eleven stops")]
+    rows += [(20 + i, f"twenty{i} starts{i} {bare} and{i} ends") for i in range(2)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert words(got[11].text) == words("eleven said eleven stops") and words(got[21].text) == words("twenty1 starts1 and1 ends")
+    assert all(got[d].removed_words == 0 for d in (*range(6), 10, 20))
+
+
+def test_line_dedup_is_whole(spark, docs, texts):
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(spark, docs).collect()}
+    k, seen = line_dedup.MIN_BLOCK, set()
+    ascii_words = lambda t: _WORD.findall((t or "").encode().lower().decode())
+    for d in sorted(texts):
+        w = ascii_words(texts[d])
+        blocks = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+        again = {i + j for i, b in enumerate(blocks) if b in seen for j in range(k)}
+        seen.update(blocks)
+        assert ascii_words(rows[d].text if d in rows else "") == [x for i, x in enumerate(w) if i not in again]
+
+
 def test_decontamination(spark, docs, texts):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     sets = {d: grams(t, decontaminate.SHINGLE) for d, t in texts.items()}
