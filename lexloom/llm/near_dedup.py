@@ -7,11 +7,13 @@ Registers of two sets merge by maximum and agree more often the more the sets ov
 
 1. Documents with the same shingle set collapse by a 128-bit set hash.
 2. Bands of registers are bucketed. No bucket is capped, and none sends all its pairs on: within it the
-   maximum spanning forest by equal registers is kept, one edge less than it has documents. A
+   maximum spanning forest by equal registers is kept, and pairs that step 3 keeps between its trees. A
    bucket too large for one task is cut into blocks, and every pair of blocks is a task.
 3. The Jaccard similarity of each edge is estimated jointly from all registers and both set sizes by
    maximum likelihood; edges clearly below the threshold are dropped.
 4. The others are verified on the whole shingle sets; verified edges are joined into groups.
+5. Where an edge of a tree fails, all pairs of the tree's documents that verified edges do not join yet
+   are verified too, so that a near-duplicate is not lost to a closer-looking document that is none.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SLACK = 0.14
 #: Documents of a bucket that one task compares.
 BLOCK = 4096
+#: Documents, with their shingle sets, of a block of a tree that is verified pair by pair.
+SET_BLOCK = 256
 _SALT = 0x5E75
 
 
@@ -140,35 +144,101 @@ def _forest(k: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(child, int), np.array(parent, int)
 
 
+def _trees(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least member of each of n vertices' tree."""
+    root = np.arange(n)
+    for a, b in zip(x.tolist(), y.tolist()):
+        a, b = root[a], root[b]
+        if a != b:
+            root[root == max(a, b)] = min(a, b)
+    return root
+
+
+def _spanning(k: np.ndarray, n: np.ndarray, least: int, enough: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges x, y whose estimate is ``enough`` and the trees of all vertices. No pair between two trees has an
+    estimate of ``enough`` (pairs of fewer than ``least`` equal registers, far below it, aside)."""
+    x, y = _forest(k, least) if len(k) > 2 else (np.array([1]), np.array([0]))
+    ok = estimate(k[x], k[y], n[x], n[y]) >= enough
+    x, y = x[ok], y[ok]
+    root = _trees(len(k), x, y)
+    if len(k) > 2 and (root != root[0]).any():
+        more = [(x, y)]
+        for i in range(len(k) - 1):
+            z = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            z = z[(k[z] == k[i]).sum(1) >= least]
+            z = z[estimate(np.broadcast_to(k[i], (len(z), k.shape[1])), k[z], np.full(len(z), n[i]), n[z]) >= enough]
+            more.append((z, np.full(len(z), i)))
+        x, y = (np.concatenate(e) for e in zip(*more))
+        root = _trees(len(k), x, y)
+    return x, y, root
+
+
 def _bucket_batches(threshold: float):
     least = max(1, int((threshold - 2 * SLACK) * BANDS * ROWS))
 
     def run(batches):
         for batch in batches:
-            x, y = [], []
-            members = batch.column("members")
+            x, y, tree = [], [], []
+            members, cell = batch.column("members"), batch.column("cell").to_numpy().view(np.uint64)
             ids, ns, regs = members.values.field("doc_id").to_numpy(), members.values.field("n").to_numpy(), members.values.field("regs")
             k = np.frombuffer(b"".join(regs.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
             at = members.offsets.to_numpy()
             for i in range(len(batch)):
                 a, b = at[i], at[i + 1]
-                if b - a == 2:
-                    child, parent = np.array([1]), np.array([0])
-                else:
-                    child, parent = _forest(k[a:b], least)
+                child, parent, root = _spanning(k[a:b], ns[a:b], least, threshold - SLACK)
                 x.append(child + a)
                 y.append(parent + a)
+                tree.append(c.mix(cell[i] ^ c.mix((root[child] + 1).astype(np.uint64))))
             if not x:
                 continue
-            x, y = np.concatenate(x), np.concatenate(y)
-            j = estimate(k[x], k[y], ns[x], ns[y])
-            x, y = x[j >= threshold - SLACK], y[j >= threshold - SLACK]
+            x, y, tree = np.concatenate(x), np.concatenate(y), np.concatenate(tree)
             u, v = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(tree.view(np.int64)), pa.array(u), pa.array(v)], ["tree", "u", "v"])
 
     return run
 
 
+def _rest_batches(threshold: float):
+    """Edges (u, v, j) that join the groups among the members (doc_id, root, s) of each row: every pair is compared."""
+
+    def run(batches):
+        for batch in batches:
+            u, v, j = [], [], []
+            members = batch.column("members")
+            ids, roots, sets = members.values.field("doc_id").to_numpy(), members.values.field("root").to_numpy(), members.values.field("s")
+            flat, ends, at = sets.values.to_numpy(), sets.offsets.to_numpy(), members.offsets.to_numpy()
+            for i in range(len(batch)):
+                a, b = at[i], at[i + 1]
+                off = ends[a : b + 1] - ends[a]
+                values, code = np.unique(flat[ends[a] : ends[b]], return_inverse=True)
+                size, root, doc = np.diff(off), roots[a:b].copy(), ids[a:b]
+                for p in range(b - a - 1):
+                    if (root[p + 1 :] == root[p]).all():
+                        continue
+                    mine = np.zeros(len(values), bool)
+                    mine[code[off[p] : off[p + 1]]] = True
+                    both = np.add.reduceat(mine[code].astype(np.int64), off[:-1])
+                    share = both / (size + size[p] - both)
+                    for q in np.flatnonzero(share[p + 1 :] >= threshold) + p + 1:
+                        if root[p] != root[q]:
+                            u.append(max(doc[p], doc[q]))
+                            v.append(min(doc[p], doc[q]))
+                            j.append(share[q])
+                            root[root == root[q]] = root[p]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(j, pa.float64())], ["u", "v", "j"])
+
+    return run
+
+
+def _blocks(ids: DataFrame, block: int) -> DataFrame:
+    """(b, i, j, doc_id): the members of every pair of blocks of each row (b, ids)."""
+    last = F.floor((F.size("ids") - 1) / block).cast("int")
+    cell = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("cell")
+    part = lambda k: F.slice("ids", k * block + 1, F.lit(block))
+    both = F.when(F.col("cell.i") == F.col("cell.j"), part(F.col("cell.i"))).otherwise(F.concat(part(F.col("cell.i")), part(F.col("cell.j"))))
+    return ids.select("b", "ids", cell).select("b", "cell.i", "cell.j", F.explode(both).alias("doc_id"))
+
+
 def _shingle_batches(batches):
     for batch in batches:
         ids = batch.column("doc_id")
@@ -208,15 +278,10 @@ def near_edges(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOL
     buckets = full.groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).where("size(ids) > 1")
     # a group of copies fills the same bucket in most bands: each set of documents is compared once
     buckets = buckets.select("ids").distinct().withColumn("b", F.xxhash64("ids"))
-    last = F.floor((F.size("ids") - 1) / BLOCK).cast("int")
-    cell = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("cell")
-    cells = buckets.select("b", "ids", cell)
-    part = lambda k: F.slice("ids", k * BLOCK + 1, F.lit(BLOCK))
-    both = F.when(F.col("cell.i") == F.col("cell.j"), part(F.col("cell.i"))).otherwise(F.concat(part(F.col("cell.i")), part(F.col("cell.j"))))
-    members = cells.select("b", "cell.i", "cell.j", F.explode(both).alias("doc_id"))
+    members = _blocks(buckets, BLOCK)
     grouped = members.join(regs, "doc_id").groupBy("b", "i", "j").agg(F.collect_list(F.struct("doc_id", "n", "regs")).alias("members")).where("size(members) > 1")
-    cand = grouped.select("members").mapInArrow(_bucket_batches(threshold), "u bigint, v bigint").distinct()
-    cand = c.materialize(spark, cand)
+    edges = c.materialize(spark, grouped.select(F.xxhash64("b", "i", "j").alias("cell"), "members").mapInArrow(_bucket_batches(threshold), "tree bigint, u bigint, v bigint"))
+    cand = c.materialize(spark, edges.select("u", "v").distinct())
     ids = c.materialize(spark, cand.select(F.col("u").alias("i")).union(cand.select("v")).distinct())
     wanted = c.by_ids(c.id_text(docs).where("doc_id is not null"), ids, "left_semi")
     sets = wanted.mapInArrow(_shingle_batches, "doc_id bigint, s array<bigint>")
@@ -224,7 +289,20 @@ def near_edges(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOL
     a = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("sa"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sb"))
     verified = cand.join(a, "u").join(b, "v").select("u", "v", "sa", "sb").mapInArrow(_verify_batches(threshold), "u bigint, v bigint, j double")
-    return same.union(verified)
+    verified = c.materialize(spark, verified)
+    # trees with an edge that failed: what verified edges do not join is compared pair by pair
+    failed = cand.join(verified, ["u", "v"], "left_anti")
+    open_trees = edges.join(failed, ["u", "v"], "left_semi").select("tree").distinct()
+    left = edges.join(open_trees, "tree", "left_semi")
+    left = left.select("tree", F.explode(F.array("u", "v")).alias("doc_id")).groupBy("tree").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    left = c.materialize(spark, left.where("size(ids) > 2").select("ids").distinct().withColumn("b", F.xxhash64("ids")))
+    if left.isEmpty():
+        return same.union(verified)
+    comp = components(spark, verified.select("u", "v"))
+    rooted = sets.join(comp, sets["doc_id"] == comp["id"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"), "s")
+    rest = _blocks(left, SET_BLOCK).join(rooted, "doc_id").groupBy("b", "i", "j").agg(F.collect_list(F.struct("doc_id", "root", "s")).alias("members"))
+    rest = rest.where("size(array_distinct(members.root)) > 1").select("members").mapInArrow(_rest_batches(threshold), "u bigint, v bigint, j double")
+    return same.union(verified).union(c.materialize(spark, rest))
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -70,6 +70,18 @@ def test_near_dedup(spark, docs, texts):
     assert all(want[d] == want[g] for d, g in got.items())  # nothing is joined that brute force keeps apart
 
 
+def test_near_dedup_template_family(spark):
+    rng = np.random.default_rng(1)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    template, rows = own(207), []
+    for i in range(260):  # two of the family are just under the threshold, the planted pairs over it
+        pair = own(20)
+        for d in (2 * i, 2 * i + 1)[: 2 if i < 30 else 1]:
+            rows.append((d, " ".join(template + pair + own(73))))
+    got = {r.doc_id: r.group_id for r in near_dedup.near_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d in range(60)}
+
+
 def test_setsketch_estimates_and_merges():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
