@@ -4,8 +4,10 @@ Two things live here: cutting lineage through tables in the cluster's shared
 folder, and numpy kernels that turn an Arrow string column into word and
 shingle hashes without creating a Python object per word.
 
-Words are maximal runs of ASCII letters, ASCII digits and non-ASCII bytes of
-the lower-cased UTF-8 text; everything else separates.
+Words are maximal runs of ASCII letters, ASCII digits and non-ASCII characters of
+the lower-cased UTF-8 text; everything else separates, and so do non-ASCII spaces and
+punctuation. In scripts that put no spaces between words (Chinese, Japanese, Thai, Lao, Khmer,
+Burmese and the like) each character, with the combining marks after it, is a word of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import unicodedata
 import uuid
 
 import numpy as np
@@ -87,6 +90,13 @@ _INV = pow(_MULT, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
 _WORD[ord("a") : ord("z") + 1] = _WORD[ord("A") : ord("Z") + 1] = _WORD[ord("0") : ord("9") + 1] = True
 _WORD[128:] = True
+#: Ranges of characters that are words of their own.
+_ALONE = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+_JOINED, _SEPARATES, _OWN, _MARK = range(4)
+_KINDS: list[np.ndarray] = []
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -130,6 +140,47 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         i = min(j, n)
 
 
+def _kinds() -> np.ndarray:
+    """For each code point, whether it is joined to its neighbours, separates, is a word of its own, or is a mark of such a one."""
+    if not _KINDS:
+        kind = np.full(0x110000, _JOINED, np.uint8)
+        for a, b in _ALONE:
+            kind[a : b + 1] = _OWN
+        for x in range(0x80, 0x20000):
+            category = unicodedata.category(chr(x))
+            if category[0] in "PZ" or x == 0x85:
+                kind[x] = _SEPARATES
+            elif category[0] == "M" and kind[x] == _OWN:
+                kind[x] = _MARK
+        _KINDS.append(kind)
+    return _KINDS[0]
+
+
+def _beyond_ascii(data: np.ndarray, inside: np.ndarray, begins: np.ndarray) -> None:
+    """Take separators out of ``inside`` and set ``begins`` around characters that are words of their own."""
+    # two-byte characters that matter are those of U+0080-00BF; no script of own words lies below U+0800
+    lead = np.flatnonzero((data >= 0xE0) | (data == 0xC2))
+    if not len(lead):
+        return
+    pad = np.concatenate([data, np.zeros(3, np.uint8)])
+    first = pad[lead].astype(np.int64)
+    size = np.where(first >= 0xF0, 4, np.where(first >= 0xE0, 3, 2))
+    low = [(pad[lead + i] & 0x3F).astype(np.int64) for i in (1, 2, 3)]
+    point = np.where(size == 2, (first & 0x1F) << 6 | low[0], np.where(size == 3, (first & 0x0F) << 12 | low[0] << 6 | low[1], (first & 0x07) << 18 | low[0] << 12 | low[1] << 6 | low[2]))
+    kind = _kinds()[np.minimum(point, 0x10FFFF)]
+    n = len(data)
+    off = kind == _SEPARATES
+    for i in range(4):
+        at = lead[off & (size > i)] + i
+        inside[at[at < n]] = False
+    own, mark = kind == _OWN, kind == _MARK
+    alone = own | mark
+    begins[lead[own]] = True
+    end = np.minimum((lead + size)[alone], n)
+    begins[end] = True
+    begins[np.intersect1d(lead[mark], end)] = False  # a mark stays with what it follows
+
+
 class Words:
     """Word hashes of rows i..j: ``hash``, byte ``start`` and ``end`` within ``data``, and ``at``,
     the n + 1 offsets of rows into them."""
@@ -142,6 +193,7 @@ class Words:
         inside = np.zeros(n + 2, bool)
         inside[1:-1] = _WORD[self.data]
         begins = np.zeros(n + 1, bool)
+        _beyond_ascii(self.data, inside[1:-1], begins)
         begins[self.offsets] = True
         here, before = inside[1:], inside[:-1]
         self.start = np.flatnonzero(here & (~before | begins))

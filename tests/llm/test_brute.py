@@ -167,6 +167,27 @@ def test_line_dedup_is_whole(spark, docs, texts):
         assert ascii_words(rows[d].text if d in rows else "") == [x for i, x in enumerate(w) if i not in again]
 
 
+def test_words_of_other_scripts():
+    from lexloom.llm import _common as c
+
+    for text, want in (("我喜欢，数据。A1字b", "我 喜 欢 数 据 A1 字 b"), ("a\u00a0b\u2003c «été» d’un", "a b c été d un"), ("ที่นี่ x", "ที่ นี่ x"), ("한국어 글", "한국어 글"), ("𠀀𠀁x☕y", "𠀀 𠀁 x☕y"), ("naïve über", "naïve über")):
+        data, offsets = c.utf8(pa.array(["字", text]), lower=False)
+        w = c.Words(data, offsets)
+        assert [bytes(w.data[a:b]).decode() for a, b in zip(w.start, w.end)][1:] == want.split()
+
+
+def test_texts_without_spaces(spark):
+    rng = np.random.default_rng(3)
+    a, b, own = ("".join(chr(0x4E00 + x) for x in rng.integers(0, 5000, n)) for n in (300, 300, 40))
+    near = a[:150] + "，" + a[151:]
+    df = spark.createDataFrame([(1, a), (2, near), (3, b), (4, own + "。" + b[50:250] + "。" + own[::-1])], "doc_id long, text string")
+    assert {(r.doc_id, r.group_id) for r in near_dedup.near_groups(spark, df).collect() if r.doc_id < 3} == {(1, 1), (2, 1)}
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark, df).collect()}
+    assert left[3] == b and b[50:60] not in left[4] and own in left[4] and own[::-1] in left[4]
+    items = spark.createDataFrame([(7, b[60:100])], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(spark, df, items).collect()} == {3, 4}
+
+
 def test_decontamination(spark, docs, texts):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     sets = {d: grams(t, decontaminate.SHINGLE) for d, t in texts.items()}
