@@ -23,7 +23,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import _common as c
@@ -203,15 +203,27 @@ def composite(nodes: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame
 
 
 def _host_columns(pages: DataFrame) -> DataFrame:
-    """(page_id, host, hkey, html); a page whose URL has no host is a site of its own."""
+    """(page_id, host, hkey, html, url); a page whose URL has no host is a site of its own."""
     host = F.lower(F.regexp_extract(F.coalesce(pages["url"].cast("string"), F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
-    return pages.select(pages["page_id"].cast("bigint").alias("page_id"), F.when(host != "", host).alias("host"), F.when(host != "", F.xxhash64(host)).otherwise(F.xxhash64(F.lit("page"), pages["page_id"].cast("string"), html)).alias("hkey"), html.alias("html"))
+    return pages.select(pages["page_id"].cast("bigint").alias("page_id"), F.when(host != "", host).alias("host"), F.when(host != "", F.xxhash64(host)).otherwise(F.xxhash64(F.lit("page"), pages["page_id"].cast("string"), html)).alias("hkey"), html.alias("html"), pages["url"].cast("string").alias("url"))
+
+
+def _distinct_pages(sites: DataFrame) -> DataFrame:
+    """(hkey, html) of one page for each visible text of a host, the least by html: copies under other URLs or ids
+    and repeated rows say nothing about the site. Where one repeated row is all that a host has, it counts as two."""
+    strip = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\b[^>]*>|\z)|<[^>]*>"
+    seen = F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace("html", strip, " "), r"\s+", " ")))
+    rows = sites.select("hkey", "html", F.xxhash64("page_id", "url").alias("at"), seen.alias("seen"))
+    distinct = rows.groupBy("hkey", "seen").agg(F.min("html").alias("html"), F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
+    sole = distinct.withColumn("texts", F.count("*").over(Window.partitionBy("hkey")))
+    twice = (F.col("texts") == 1) & (F.col("n") > 1) & (F.col("a") == F.col("b"))
+    return sole.select("hkey", F.explode(F.when(twice, F.array("html", "html")).otherwise(F.array("html"))).alias("html"))
 
 
 def importance(spark: SparkSession, sites: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(host, key, parent, importance, noise) of the elements that two or more pages of a host share."""
-    stats = sites.select("hkey", "html").mapInArrow(_stat_batches, "key bigint, host bigint, parent bigint, value bigint, n int")
+    stats = _distinct_pages(sites).mapInArrow(_stat_batches, "key bigint, host bigint, parent bigint, value bigint, n int")
     stats = stats.groupBy("key", "value", F.isnull("host").alias("feature")).agg(F.sum("n").alias("n"), F.min("host").alias("host"), F.min("parent").alias("parent"))
     x = F.col("n")
     node, feature = ~F.col("feature"), F.col("feature")
@@ -280,8 +292,9 @@ def extract(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOLD)
     """(page_id, host, text, removed) of every row of ``pages``; removed counts the branches taken out.
 
     A NULL or empty html has the text ''. A page whose URL is NULL or has no host is a site of its own,
-    from which nothing is removed. A page that a row repeats counts as two pages of its host (or, without a
-    host, of one site). A NULL page_id stays NULL; an empty table gives no rows; other columns are ignored.
+    from which nothing is removed. Pages of a host with the same visible text, whatever their
+    URLs and ids, count as one; only where one repeated row is all that a host (or, without a host, a
+    site) has, it counts as two, and nothing is left of it. Copies that differ in a word count as two pages. A NULL page_id stays NULL; an empty table gives no rows; other columns are ignored.
     """
     sites = _host_columns(pages)
     known = c.materialize(spark, importance(spark, sites, threshold).where("noise"))

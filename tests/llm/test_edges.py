@@ -125,6 +125,17 @@ def test_html(spark):
     assert html_extract.extract(spark, df.where("page_id = 0")).count() == 0
 
 
+def test_html_copies(spark):
+    page = "<html><body><div class=menu>Home About</div>{}</body></html>"
+    article = page.format("<h1>Title</h1><p>First of it.</p><p>Second of it.</p><ul><li>End.</li></ul>")
+    rows = [(1, "http://a.example/1", article), (2, "https://a.example/1?utm=2", article), (3, "http://a.example/3", page.format("<p>Three.</p>")), (4, "http://a.example/4", page.format("<p>Four.</p>")), (3, "http://a.example/3", page.format("<p>Three.</p>"))]
+    rows += [(5, "http://b.example/1", article), (6, "http://b.example/m/1", article)]
+    text = {r.page_id: r.text for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    body = "Title\nFirst of it.\nSecond of it.\nEnd."
+    assert text[1] == text[2] and text[1].endswith(body) and text[3] == "Three." and text[4] == "Four."
+    assert text[5] == text[6] and text[5].endswith(body)
+
+
 def test_quality(spark, docs, none, labels):
     got = quality.classify(spark, docs, labels).collect()
     assert len(got) == len(ROWS) and all(r.label == "low" and not r.keep for r in got if r.doc_id in (1, 2))
