@@ -203,6 +203,16 @@ def test_decontamination(spark, docs, texts):
     assert kept == set(texts) - {d for d, _ in got}
 
 
+def test_decontamination_items_of_one_shingle():
+    from lexloom.llm import _common as c
+
+    items = [" ".join(f"i{k}w{j}" for j in range(5 + k % 3)) for k in range(300)]
+    index = decontaminate.Index(list(range(300)), items)
+    texts = [" ".join(f"a{k}x{j}" for j in range(30)) + f" {x} " + " ".join(f"b{k}x{j}" for j in range(30)) for k, x in enumerate(items)]
+    data, offsets = c.utf8(pa.array(texts))
+    assert {(r, i) for r, i, _ in index.matches(c.Words(data, offsets), 0.6)} == {(k, k) for k in range(300)}
+
+
 def slow_best_fit(lengths, capacity):
     left = []
     for n in sorted(lengths, reverse=True):
