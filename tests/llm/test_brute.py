@@ -265,14 +265,52 @@ def test_quality(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) > 0.65
 
 
-def test_ann(spark):
-    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+def ann_recall(got, ids, x, k=ann.K):
+    """Share of the exact k nearest others, ties by id, that each row of ``got`` holds."""
+    at, hit = {v: i for i, v in enumerate(ids)}, []
+    for v, found in got.items():
+        d = ((x - x[at[v]]) ** 2).sum(1)
+        d[at[v]] = np.inf
+        hit.append(len(set(ids[np.lexsort((ids, d))[:k]]) & set(found)) / k)
+    return np.mean(hit)
+
+
+@pytest.mark.parametrize("sf, more", [("0.01", {}), ("0.1", {}), ("0.1", {"part_rows": 32, "fanout": 8, "sample": 600})])
+def test_ann(spark, sf, more):
+    """Production parameters, and a tree of two levels; every vector is a query."""
+    emb = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
     rows = emb.select("vec_id", "embedding").toPandas().sort_values("vec_id")
     x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
-    near = ann.neighbours(x, ann.K)
-    got = ann.nearest(spark, emb, part_rows=64).toPandas().set_index("vec_id")["neighbours"]
-    assert len(got) == len(ids)
-    assert np.mean([len(set(ids[near[i]]) & set(got[ids[i]])) for i in range(len(ids))]) / ann.K >= 0.9
+    got = {r.vec_id: r.neighbours for r in ann.nearest(spark, emb, **more).collect()}
+    assert len(got) == len(ids) and ann_recall(got, ids, x) >= 0.9
+    if not more:
+        few = ann.nearest(spark, emb, emb.where("vec_id % 100 = 0")).collect()
+        assert {r.vec_id: r.neighbours for r in few} == {v: f for v, f in got.items() if v % 100 == 0}
+
+
+def test_ann_probes_few_parts_of_clusters():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24))
+    x = (centres[rng.integers(0, 40, 6000)] + 0.15 * rng.normal(size=(6000, 24))).astype(np.float32)
+    parts = ann.node_parts(6000, 4000, 1, 375)
+    router = ann.Router.unpack(ann.Router(x[:4000], parts).pack(), 24)
+    home = router.probabilities(x).argmax(1)
+    row, child, p = ann._children(router, x[4000:], ann.PROBE)
+    probed = set(zip(row.tolist(), child.tolist()))
+    near = ann.neighbours(x.astype(float), 10)[4000:]
+    assert parts == 16 and len(row) / 2000 < 3
+    assert np.mean([(i, home[j]) in probed for i, js in enumerate(near) for j in js]) >= 0.9
+
+
+def test_ann_hot_vector(spark):
+    """A third of all rows are one vector, stored once; the ids of its copies come back in order."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 200, 0), rng.normal(size=(400, 8))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.neighbours for r in ann.nearest(spark, df, k=5).collect()}
+    assert len(got) == 600 and got[0] == [1, 2, 3, 4, 5] and got[3] == [0, 1, 2, 4, 5] and got[150] == [0, 1, 2, 3, 4]
+    assert ann_recall({v: f for v, f in got.items() if v >= 200}, np.arange(600), x.astype(float), 5) >= 0.9
+    assert ann.nearest(spark, df, df.where("vec_id < 0")).count() == 0
 
 
 def test_ann_balance():
