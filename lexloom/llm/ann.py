@@ -211,7 +211,7 @@ def _children(router: Router | None, x: np.ndarray, share: float | None) -> tupl
     return row, child, p[row, child].astype(float)
 
 
-def _descend(spark: SparkSession, rows: DataFrame, routers: DataFrame, sizes: DataFrame, level: int, dim: int, share: float | None, fanout: int) -> DataFrame:
+def _descend(spark: SparkSession, rows: DataFrame, routers: DataFrame, sizes: DataFrame | None, level: int, dim: int, share: float | None, fanout: int) -> DataFrame:
     """Rows (path, id, v) one level further down. The root's classifier is broadcast; of the others each meets only its
     own node's rows, a large node's in several tasks."""
     schema = "path bigint, id bigint, v binary"
@@ -279,13 +279,14 @@ def nearest(
         return run
 
     for level in range(levels):
-        nodes = c.materialize(spark, stored.groupBy("path").agg(F.count("*").alias("n")))
+        nodes = c.materialize(spark, stored.groupBy("path").agg(F.count("*").alias("n"))) if level else None
         # by a hash of the id, a few more than the sample of each node; the rest never leaves its task
         unit = F.shiftrightunsigned(F.xxhash64("id", F.lit(level)), 11) / float(1 << 53)
-        drawn = stored.join(nodes, "path").withColumn("h", unit).where(F.col("h") * F.col("n") <= sample + 6 * math.sqrt(sample))
+        counted = stored.join(nodes, "path") if level else stored.withColumn("n", F.lit(n))
+        drawn = counted.withColumn("h", unit).where(F.col("h") * F.col("n") <= sample + 6 * math.sqrt(sample))
         routers = c.materialize(spark, drawn.groupBy("path").applyInPandas(train(levels - level), "path bigint, router binary"))
         stored = c.materialize(spark, _descend(spark, stored, routers, nodes, level, dim, None, fanout))
-        q_nodes = asked.groupBy("path").agg(F.count("*").alias("n")) if level else nodes
+        q_nodes = asked.groupBy("path").agg(F.count("*").alias("n")) if level else None
         asked = c.materialize(spark, _descend(spark, asked, routers, q_nodes, level, dim, share, fanout))
 
     # a part with many vectors or many queries is reranked by several tasks
