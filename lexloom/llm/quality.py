@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import _common as c
 
 CLASSES = ("good", "low", "toxic")
-#: Bound of the labelled sample (rows of each class), taken by hash of doc_id from all labelled rows. Texts
-#: longer than MAX_TRAIN_BYTES take no part in training; scoring reads every text whole.
+#: Bounds of the labelled sample: rows of each class, by hash of doc_id; bytes of a text that may be in it (the sample is
+#: drawn among such documents, so longer ones use up none of it). Scoring reads every text whole.
 SAMPLE, MAX_TRAIN_BYTES = 2000, 20_000
 BITS, DIM, EPOCHS, RATE = 17, 8, 5, 0.5
 #: Training documents that a feature must occur in; rarer ones would only memorise single documents and score nothing.
@@ -116,22 +116,20 @@ def predict(model: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """A model from at most ``sample`` labelled documents of each class; None if there are none. The classes'
-    shares among all labelled documents go into the bias, as the sample has other shares.
+    shares among all labelled documents of at most MAX_TRAIN_BYTES go into the bias, as the sample has other shares.
 
     Labels with a NULL doc_id or neither flag are not used; a document with several labels is low or
-    toxic if any of them says so.
+    toxic if any of them says so; of rows that repeat a doc_id the least text is taken.
     """
     given = labels.select(labels["doc_id"].cast("bigint").alias("__lx_l"), labels["quality"].alias("__lx_q"), labels["toxic"].alias("__lx_t")).where("__lx_l is not null and (__lx_q is not null or __lx_t is not null)")
     given = _classes(given)
+    texts = c.id_text(docs).where("doc_id is not null").where(F.octet_length("text").between(1, MAX_TRAIN_BYTES))
+    given = c.materialize(spark, given.join(texts.select(F.col("doc_id").alias("__lx_d")), F.col("__lx_l") == F.col("__lx_d"), "left_semi"))
     share = {r[0]: r[1] for r in given.groupBy("__lx_y").count().collect()}
-    ordered = [given.where(F.col("__lx_y") == y).orderBy(F.xxhash64("__lx_l"), "__lx_l").limit(sample) for y in share]
-    if not ordered:
-        return None
-    chosen = ordered[0]
-    for x in ordered[1:]:
-        chosen = chosen.union(x)
-    chosen = F.broadcast(chosen)  # at most classes x sample rows
-    rows = c.id_text(docs).where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(chosen, F.col("doc_id") == F.col("__lx_l")).select("doc_id", "text", "__lx_y").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    order = Window.partitionBy("__lx_y").orderBy(F.xxhash64("__lx_l"), "__lx_l")
+    chosen = given.withColumn("__lx_n", F.row_number().over(order)).where(F.col("__lx_n") <= sample).select("__lx_l", "__lx_y")
+    # at most classes x sample ids are broadcast
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__lx_l")).select("doc_id", "text", "__lx_y").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     if not len(rows):
         return None
     model = train(rows["text"].tolist(), rows["__lx_y"].tolist())
@@ -147,9 +145,8 @@ def _classes(given: DataFrame) -> DataFrame:
 
 def _probabilities(model: np.ndarray | None, column: pa.Array) -> np.ndarray:
     data, offsets = c.utf8(column, lower=False)
-    if model is None:
-        return np.repeat([[1.0, 0.0, 0.0]], len(column), 0)
-    parts = [predict(model, data, offsets[i : j + 1]) for i, j in c.chunks(offsets)]
+    good = lambda i, j: np.repeat([[1.0, 0.0, 0.0]], j - i, 0)
+    parts = [good(i, j) if model is None else predict(model, data, offsets[i : j + 1]) for i, j in c.chunks(offsets)]
     p = np.concatenate(parts) if parts else np.zeros((0, len(CLASSES)))
     p[np.diff(offsets) == 0] = (0.0, 1.0, 0.0)  # nothing to read is of low quality
     return p
@@ -159,8 +156,9 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     """(doc_id, p_good, p_low, p_toxic, label, keep) of every row of ``docs``.
 
     A NULL or empty text is low with certainty; a NULL doc_id stays NULL; rows that repeat are scored
-    each; ties go to the earlier class of (good, low, toxic). Without any labelled document all
-    are good. keep: p_good is at least KEEP.
+    each; ties go to the earlier class of (good, low, toxic). Long texts are read whole. Without any labelled
+    document all that have a text are good; an empty table gives no rows; other columns, whatever their
+    names, are ignored. keep: p_good is at least KEEP.
     """
     model = spark.sparkContext.broadcast(fit(spark, docs, labels))
 
@@ -174,6 +172,8 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, unchanged, that the classifier keeps."""
+    """The rows of ``docs``, unchanged and with every column whatever its name, that :func:`classify` would keep: NULL and empty
+    texts go, a NULL doc_id or a repeated row is judged like any other, long texts are read whole; without any
+    labelled document all that have a text stay; an empty table gives no rows."""
     model = spark.sparkContext.broadcast(fit(spark, docs, labels))
     return c.keep_rows(docs, lambda texts: _probabilities(model.value, texts)[:, 0] >= KEEP)

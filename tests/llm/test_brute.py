@@ -19,6 +19,20 @@ def words(text):
     return _WORD.findall((text or "").lower())
 
 
+def split_words(text):
+    """Words as the operators define them, one character after the other."""
+    import unicodedata
+
+    out, word = [], ""
+    for ch in text + " ":
+        if ch.isascii() and ch.isalnum() or not ch.isascii() and unicodedata.category(ch)[0] not in "PZ" and ch != "\x85":
+            word += ch
+        elif word:
+            out.append(word)
+            word = ""
+    return out
+
+
 def grams(text, k):
     w = words(text)
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
@@ -250,8 +264,50 @@ def test_language(spark, docs):
     train, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
     held = language_id.identify(spark, test, language_id.fit(train)).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r.language == r.lang for r in held]) > 0.95
-    code = language_id.codewords(4)
-    assert min(int((a != b).sum()) for i, a in enumerate(code) for b in code[:i]) >= 5
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 30, 64, 65, 100, 400, 1500])
+def test_codewords(n):
+    code = language_id.codewords(n)
+    d = (code.shape[1] - code @ code.T) / 2
+    assert code.shape == (n, len(code[0])) and (n == 1 or d[~np.eye(n, dtype=bool)].min() >= language_id.LEAST_DISTANCE)
+    assert n == 1 or (np.abs(code.sum(0)) < n).all()
+
+
+def test_language_against_brute_force(spark, docs, texts):
+    """Decoding of the query by a loop over n-grams, bits and languages."""
+    import math
+
+    model = language_id.fit(docs)
+    got = {r.doc_id: r for r in language_id.identify(spark, docs, model).collect()}
+    assert set(got) == set(texts)
+    for d in sorted(texts)[:: max(1, len(texts) // 150)]:
+        raw = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in texts[d].encode())
+        count = defaultdict(int)
+        for g in language_id.GRAMS:
+            for i in range(len(raw) - g + 1):
+                if raw[i : i + g].strip(b" "):
+                    h = g
+                    for x in raw[i : i + g]:
+                        h = ((h * 0x01000193) & 0xFFFFFFFF) ^ x
+                    count[((h * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - language_id.BUCKET_BITS)] += 1
+        if not count:
+            assert got[d].language is None and got[d].ambiguous
+            continue
+        norm = math.sqrt(sum(x * x for x in count.values()))
+        z = [sum(x / norm * float(model.w[b, k]) for b, x in count.items()) + float(model.b[k]) for k in range(model.code.shape[1])]
+        loss = [sum(w * math.log1p(math.exp(-y * s)) for w, y, s in zip(model.weight, z, word)) for word in model.code]
+        first, second = sorted(loss)[:2]
+        assert got[d].language == model.langs[loss.index(first)] and abs(got[d].gap - (second - first)) < 1e-3
+
+
+def test_languages_of_many_names(spark):
+    rng = np.random.default_rng(9)
+    word = lambda k: "".join(chr(97 + (7 * k + int(x)) % 26) for x in rng.integers(0, 5, 6))
+    rows = [(i, " ".join(word(i % 20) for _ in range(60)) + ("x" * 30_000 if i % 40 == i % 20 and i < 400 else ""), f"l{i % 20:02d}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.language for r in language_id.identify(spark, df, language_id.fit(df.where("doc_id < 900"), 30)).collect()}
+    assert np.mean([got[i] == x for i, _, x in rows if i >= 900]) > 0.9  # long texts use up none of the 30 rows
 
 
 def test_quality(spark):
@@ -265,6 +321,47 @@ def test_quality(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) > 0.65
 
 
+def test_quality_against_brute_force(spark, docs, texts):
+    """Scores of the query by a loop over words and n-grams."""
+    import math
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(spark, docs, labels)
+    got = {r.doc_id: r for r in quality.classify(spark, docs, labels).collect()}
+    assert set(got) == set(texts)
+    mask, inv = (1 << 64) - 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def poly(b):
+        return sum((x + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, x in enumerate(b)) & mask
+
+    def bucket(h, k):
+        return ((h * 0xD6E8FEB86659FD93 & mask) >> (64 - quality.BITS)) + (k + 1) * (1 << quality.BITS)
+
+    assert inv * 0x9E3779B97F4A7C15 & mask == 1
+    for d in sorted(texts)[:: max(1, len(texts) // 60)]:
+        raw = texts[d].encode()
+        if not raw:
+            assert got[d].label == "low" and not got[d].keep
+            continue
+        low = bytes(x + 32 if 65 <= x <= 90 else x for x in raw)
+        lists = [[int(quality.c.mix(np.array([poly(w)], np.uint64))[0]) >> (64 - quality.BITS) for w in (t.encode() for t in split_words(low.decode()))]]
+        lists += [[bucket(poly(raw[i : i + g]), k) for i in range(len(raw) - g + 1)] for k, g in enumerate(quality.GRAMS)]
+        z = [float(model[y, -1]) + sum(sum(float(model[y, f]) for f in one) / max(1, len(one)) for one in lists) for y in range(3)]
+        e = [math.exp(x - max(z)) for x in z]
+        assert all(abs(a - b / sum(e)) < 2e-3 for a, b in zip((got[d].p_good, got[d].p_low, got[d].p_toxic), e))
+        assert got[d].keep == (got[d].p_good >= quality.KEEP)
+
+
+def test_quality_sample_without_long_texts(spark):
+    """Long labelled texts use up none of the sample, and the sample is drawn by class."""
+    rows = [(i, ("good calm words of a story " if i % 2 else "BAD!! $$ junk zzz ") * (2000 if i < 300 else 4)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "0 as toxic")
+    got = {r.doc_id: r.label for r in quality.classify(spark, docs, labels.where("doc_id < 480")).collect()}
+    model = quality.fit(spark, docs, labels, sample=60)
+    assert model is not None and all(got[i] == ("good" if i % 2 else "low") for i in range(500))
+
+
 def ann_recall(got, ids, x, k=ann.K):
     """Share of the exact k nearest others, ties by id, that each row of ``got`` holds."""
     at, hit = {v: i for i, v in enumerate(ids)}, []
