@@ -7,6 +7,8 @@ blocks of that size. An item then lies wholly within one segment less than five
 the containment threshold bounds the Jaccard similarity from below; one-row bands of FUNCTIONS minima
 find it with probability over 0.99. A candidate is verified by exact containment: the share of the
 item's distinct shingles that the whole document has.
+
+An item of fewer words than a shingle has too little to sketch: it is looked up exactly, as a run of its words.
 """
 
 from __future__ import annotations
@@ -25,14 +27,33 @@ ITEMS_PER_PASS = 50_000
 _SALT, _LEAST = 0xB36C, 0
 
 
+def _runs(words: c.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the run of k words from each word on, and its row; -1 where the row ends before."""
+    n = len(words.hash)
+    h, row = np.zeros(n, np.uint64), np.repeat(np.arange(len(words.at) - 1), np.diff(words.at))
+    reach = max(0, n - k + 1)
+    for j in range(k):
+        h[:reach] = h[:reach] * np.uint64(c._MULT) + words.hash[j : j + reach]
+    return h, np.where(np.arange(n) + k <= words.at[1:][row], row, -1)
+
+
 class Index:
     """Minima of the items of one pass by size class, and their shingles."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         data, offsets = c.utf8(pa.array(texts, pa.string()))
-        s, at = c.shingles(c.Words(data, offsets), SHINGLE)
+        words = c.Words(data, offsets)
+        s, at = c.shingles(words, SHINGLE)
         u, uat = c.distinct_sorted(s, at)
-        keep = np.flatnonzero(np.diff(at) > 0)
+        length = np.diff(words.at)
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in range(1, SHINGLE):
+            who = np.flatnonzero(length == k)
+            if len(who):
+                h = _runs(words, k)[0][words.at[who]]
+                order = np.argsort(h, kind="stable")
+                self.short[k] = (h[order], np.array([ids[i] for i in who], np.int64)[order])
+        keep = np.flatnonzero(length >= SHINGLE)
         self.ids = np.array([ids[i] for i in keep], np.int64)
         self.sets = [u[uat[i] : uat[i + 1]] for i in keep]
         level = np.array([max(_LEAST, int(np.ceil(np.log2(at[i + 1] - at[i])))) for i in keep], int)
@@ -51,11 +72,17 @@ class Index:
             self.levels[int(lv)] = (table, np.uint64(size - 1), per)
 
     def matches(self, words: c.Words, threshold: float):
-        """(row, item position, containment) of the verified pairs."""
+        """(row, item id, containment) of the verified pairs."""
+        out = []
+        for k, (values, short_ids) in self.short.items():
+            h, row = _runs(words, k)
+            at = np.searchsorted(values, h)
+            ok = (row >= 0) & (values[np.minimum(at, len(values) - 1)] == h)
+            ends = np.searchsorted(values, h[ok], "right")
+            out += sorted({(int(r), int(i), 1.0) for r, a, b in zip(row[ok], at[ok], ends) for i in short_ids[a:b]})
         s, at = c.shingles(words, SHINGLE)
-        n = len(s)
-        if not n:
-            return []
+        if not len(s) or not len(self.ids):
+            return out
         xor, mul = c.seeds(FUNCTIONS, _SALT)
         grid = {}
         size = np.diff(at)
@@ -82,13 +109,13 @@ class Index:
                     for g in np.flatnonzero(b > a):
                         r = int(row[maybe[g]])
                         found.update((r, int(i)) for i in who[a[g] : b[g]])
-        out, sets = [], {}
+        sets: dict[int, np.ndarray] = {}
         for r, i in sorted(found):
             if r not in sets:
                 sets = {r: np.unique(s[at[r] : at[r + 1]])}
             share = np.isin(self.sets[i], sets[r], assume_unique=True).mean()
             if share >= threshold:
-                out.append((r, i, float(share)))
+                out.append((r, int(self.ids[i]), float(share)))
         return out
 
 
@@ -111,7 +138,7 @@ def _pair_batches(index, threshold):
             for i, j in c.chunks(offsets):
                 for r, k, s in index.value.matches(c.Words(data, offsets[i : j + 1]), threshold):
                     doc.append(int(ids[i + r]))
-                    item.append(int(index.value.ids[k]))
+                    item.append(k)
                     share.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "containment"])
 
@@ -121,10 +148,10 @@ def _pair_batches(index, threshold):
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """(doc_id, item_id, containment) of every document that holds an item.
 
-    Items and documents with NULL id or NULL or wordless text match nothing; an item of fewer words
-    than a shingle matches only a document of the same words; rows that repeat an id are one
-    document or item, with the largest containment of any of its texts; with no items or no
-    documents there are no rows.
+    Items and documents with NULL id or NULL or wordless text match nothing; long texts are searched whole; an item
+    of fewer words than a shingle is in a document (with containment 1) if its words follow each other there; equal
+    items are each found; rows that repeat an id are one document or item, with the largest containment of
+    any of its texts; with no items or no documents there are no rows; other columns are ignored.
     """
     out = None
     for index in _indexes(spark, benchmark, per_pass):
@@ -136,7 +163,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
-    """The rows of ``docs``, unchanged, that hold no item. Judged row by row, so a NULL doc_id is no escape."""
+    """The rows of ``docs``, unchanged and with every column whatever its name, that hold no item as :func:`contaminated` has it.
+
+    Judged row by row, so a NULL doc_id is no escape and rows that repeat share their fate; NULL, empty and wordless
+    texts stay; long texts are searched whole; items with a NULL id or text count for nothing; without
+    items all rows stay; an empty table gives no rows.
+    """
 
     def keep(index):
         def judge(texts):

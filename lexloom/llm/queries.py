@@ -1,6 +1,6 @@
 """Queries of the training-data operators, each over its whole table, and their SQL.
 
-None has SQL: each needs a trained model, hashing in numpy or sequential packing. The tests
+Those without SQL need a trained model, alignment or sequential packing. The tests
 compare them with brute force, round trips and held-out accuracy instead.
 """
 
@@ -56,4 +56,20 @@ def op10_quality_classifier(spark, sf_dir):
 
 _ALL = (op1_pii, op2_minhash_near_dedup, op3_url_filter, op4_approximate_nearest_neighbours, op5_line_dedup, op6_language_id, op7_packing, op8_benchmark_decontamination, op9_html_extraction, op10_quality_classifier)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Words of a text: what stands between separators. The test tables have no text in a script without spaces.
+_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '([\x00-\x2F\x3A-\x60\x7B-\x7F\x{85}]|\p{P}|\p{Z})+'), lambda x: x <> '')"
+ORACLE_SQL: dict[str, str] = {
+    # every item against every document by exact containment, without sketches
+    "op8_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+        i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: w[k:k + 4])) AS s FROM d),
+        s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: w[k:k + 4])) AS s FROM i),
+        n AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id)
+        SELECT doc_id, item_id, count(*) / any_value(n.n) AS containment FROM s JOIN ds USING (s) JOIN n USING (item_id)
+        GROUP BY doc_id, item_id HAVING count(*) / any_value(n.n) >= {decontaminate.THRESHOLD}
+        UNION ALL
+        SELECT doc_id, item_id, 1.0 FROM d, i WHERE len(i.w) BETWEEN 1 AND 4
+        AND len(list_filter(range(1, len(d.w) - len(i.w) + 2), lambda k: d.w[k:k + len(i.w) - 1] = i.w)) > 0""",
+}

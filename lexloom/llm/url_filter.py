@@ -6,6 +6,8 @@ that the caller gives. N-grams of the host and of the path are different feature
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,48 +18,60 @@ from lexloom.llm import _common as c
 GRAMS, BITS, EPOCHS = (3, 4, 5), 14, 40
 #: A URL is rejected from this probability.
 REJECT = 0.5
+#: Rows of a labelled table that a model is made from, by hash of the URL.
+SAMPLE = 20_000
+#: Made-up hosts of the usual block-list categories: gambling, pharmacy, adult, loans and prizes, counterfeits, link farms
+#: and auto-generated pages, advertising and tracking, malware and phishing, pirated files.
 _BAD_HOSTS = (
-    "spam-offers.example.com best-spam.example.net spam-links.example.org farm-of-links.example.com link-farm.example.net cheap-meds.example.com pills-online.example.org buy-cheap-pills.example.net "
-    "cheap-viagra.example.com online-casino.example.com casino-bonus.example.net free-casino-spins.example.org poker-win.example.com xxx-videos.example.com adult-cams.example.net hot-porn.example.org "
-    "payday-loans.example.com fast-cash-loan.example.net win-free-prize.example.org free-iphone.example.com replica-watches.example.net cheap-replica.example.com seo-backlinks.example.org keyword-stuffing.example.com "
-    "click-bait-ads.example.net popup-ads.example.com malware-download.example.org crack-serial.example.net warez-torrent.example.com get-rich-quick.example.org crypto-doubler.example.com phish-login.example.net "
-    "sports-betting.example.org best-bets.example.net bet-now.example.org live-bets-online.example.com adult-dating.example.org adult-shop.example.com adult-x-rated.example.org "
-    "ad-tracker.example.com ads-server.example.org track-ads.example.net adserve-click.example.org tracking-pixel.example.net"
+    "royal-casino-bonus.com vegasslots777.net bestonlinepoker.biz free-spins-casino.co betting-tips-today.com livebet365win.xyz sportsbookodds.top jackpotcity-slots.info roulette-winner.online bingo-bonus-codes.net "
+    "cheap-viagra-online.com canadian-pharmacy-rx.net buy-cialis-now.biz discount-pills24.com weightloss-miracle-pills.info rx-meds-noprescription.top steroid-shop-eu.com keto-diet-pills.xyz "
+    "hot-xxx-videos.com freeporntube.xxx adult-webcams-live.net sexdating-local.com milf-hookup.club nude-girls-pics.top escort-service-city.com hentai-porn-hd.net "
+    "payday-loan-fast.com instant-cash-advance.net bad-credit-loans.biz win-free-iphone.club claim-your-prize.top free-giftcards-now.xyz lottery-winner-claim.info make-money-fast-home.com get-rich-trading.online bitcoin-doubler.top crypto-profit-bot.xyz forex-robot-profit.com "
+    "replica-watches-sale.com cheap-rolex-replica.net fake-designer-bags.shop louis-outlet-discount.top knockoff-sneakers.biz "
+    "seo-backlinks-cheap.com buy-backlinks.net link-farm-directory.info article-spinner-spam.com free-web-directory-links.biz expired-domains-traffic.top buy-instagram-followers.com autoblog-content-feed.xyz keyword-stuffed-pages.info doorway-pages.net spam-mailer-pro.com bulk-email-lists.biz "
+    "ad-server-click.net adsserving.com popunder-ads.xyz clicktrack-ads.com tracking-pixel-cdn.net banner-ads-network.biz analytics-tracker-js.com affiliate-offers-track.com doubleads.top push-ads-notify.club "
+    "free-malware-scan.com download-codec-update.xyz flash-player-update.top secure-login-verify.tk account-update-paypa1.ml phishing-bank-login.ga virus-alert-support.online "
+    "warez-torrent-download.com crack-serial-keygen.net free-movies-torrent.xyz pirated-software.top nulled-scripts.biz mp3-free-download-hits.info"
 ).split()
+#: Made-up hosts of ordinary sites.
 _GOOD_HOSTS = (
-    "www.example.com news.example.org blog.example.net docs.example.com m.example.org library.example.edu university.example.edu museum.example.org weather.example.com science.example.net "
-    "recipes.example.com travel.example.org history.example.net city-council.example.gov health.example.gov sports.example.com forum.example.net wiki.example.org books.example.com music.example.net "
-    "garden.example.org school.example.edu journal.example.com maps.example.net research.example.edu theatre.example.org football.example.com parliament.example.gov hospital.example.org the-times.example.com "
-    "blog.northern.example.org www.station.example.net m.thenation.example.com tion.example.org thering.example.com therein.example.net blog.another.example.org"
+    "www.morningherald.com dailygazette.co.uk news.valleytimes.org www.lesoirdelyon.fr elcorreodelsur.es www.nordkurier-zeitung.de tribune-review.ca observer.ie metro-chronicle.com weather.coastalnews.net "
+    "www.riverside-university.edu cs.northlake.edu library.stmarys.ac.uk physics.uni-seeburg.de www.lycee-pasteur.fr archive.historical-society.org museum-of-science.org journals.openpress.org math.institute.edu research.greenfield.ac.uk "
+    "www.cityofoakridge.gov health.state.gov www.parliament.gov.uk rathaus.bergstadt.de mairie-villeneuve.fr publiclibrary.org nationalparks.gov courts.county.gov census.gov.ie police.town.gov "
+    "www.gardeningweekly.com thecookbook.blog recipes.grandmaskitchen.com travel-notes.org hikingtrails.net photography-basics.com birdwatchers.org chess-club.org classicalmusic.net bookreviews.com knitting-patterns.co.uk woodworking-shop.com astronomy-forum.org "
+    "docs.pythonlibs.org developer.opensource.io forum.linuxhelp.net wiki.retrocomputing.org blog.databases.dev www.softwarefreedom.org stackforum.com mail.cloudservices.com status.webhost.net api.mapsproject.org "
+    "hospital-stjohn.org www.childrenshealth.org redcross-chapter.org animal-shelter.org communitychurch.org farmersmarket.coop www.theatre-royal.co.uk cityorchestra.org football-club.de www.tennisfederation.org marathon.org yoga-studio.com "
+    "www.familydentist.com hotel-alpenblick.at bakery-dumoulin.fr insurance-advice.co.uk carrepair-johnson.com architecture-studio.ch winery-castello.it bikeshop.nl realestate-brown.com furniture-store.se furniture.co.jp lawfirm-miller.com"
 ).split()
-_PATHS = ("/", "/en/12", "/de/345/", "/fr/67.html", "/es/890?page=2&ref=x", "/en/741?utm_source=feed", "/article/2020/05/title.html", "/about", "/en/33#top")
-_BAD_PATHS = ("/cheap-pills/buy-now", "/casino/bonus?aff=99", "/xxx/free", "/win-prize.php?id=1", "/viagra-online", "/spam/links.html")
-#: (url, bad): the default labelled table. Bad hosts are of the usual block-list categories: spam and link farms,
-#: pharmacy, gambling, adult, loans and prizes, counterfeits, advertising and tracking, malware.
+_PATHS = ("/", "/en/12", "/2019/05/title-of-story.html", "/fr/67.html", "/articles?page=2&ref=home", "/about", "/news/local/741", "/blog/a-day-in-the-hills", "/wiki/Main_Page#top", "/contact.html", "/courses/101/syllabus", "/shop/product/8812")
+_BAD_PATHS = ("/cheap-pills/buy-now", "/casino/bonus?aff=99", "/xxx/free-videos", "/win-prize.php?id=1", "/viagra-online.html", "/spam/links.html", "/click?adid=77&track=1", "/free-download-crack.exe", "/poker/free-spins", "/payday-loan/apply", "/porn/hd", "/wp-login.php?phish=1")
+#: (url, bad): the default labelled table.
 LABELLED = (
     [(f"https://{h}{_PATHS[i % len(_PATHS)]}", 1) for i, h in enumerate(_BAD_HOSTS)]
-    + [(f"http://{h}{p}", 0) for i, h in enumerate(_GOOD_HOSTS) for p in (_PATHS[i % len(_PATHS)], _PATHS[(i + 4) % len(_PATHS)])]
-    + [(f"http://{_GOOD_HOSTS[i]}{p}", 1) for i, p in enumerate(_BAD_PATHS)]
+    + [(f"http://{h}{p}", 0) for i, h in enumerate(_GOOD_HOSTS) for p in (_PATHS[i % len(_PATHS)], _PATHS[(i + 5) % len(_PATHS)])]
+    + [(f"http://{_GOOD_HOSTS[(7 * i) % len(_GOOD_HOSTS)]}{p}", 1) for i, p in enumerate(_BAD_PATHS)]
 )
+_SCHEME = re.compile(r"(?:[a-z][a-z0-9+.-]*+:)?//")
 
 
 def parts(url: str | None) -> tuple[str, str]:
-    """(host, path with query) of a URL in lower case, without scheme, user, port and fragment; as the Spark columns."""
-    u = (url or "").strip().lower()
-    if "://" in u:
-        u = u.split("://", 1)[1]
-    u = u.split("#", 1)[0]
+    """(host, path with query) of a URL in lower case, without scheme, user, port and fragment; as the Spark columns.
+    A scheme stands at the start only; the host of an IPv6 address keeps its brackets."""
+    u = (url or "").strip(" ").lower()
+    m = _SCHEME.match(u)
+    u = (u[m.end() :] if m else u).split("#", 1)[0]
     cut = min([k for k in (u.find("/"), u.find("?")) if k >= 0], default=len(u))
-    host = u[:cut].rpartition("@")[2].split(":", 1)[0]
-    return host, u[cut:]
+    host = u[:cut].rpartition("@")[2]
+    end = host.find("]")
+    return host[: end + 1] if host.startswith("[") and end > 0 else host.split(":", 1)[0], u[cut:]
 
 
 def _part_columns(url):
     u = F.lower(F.trim(F.coalesce(url.cast("string"), F.lit(""))))
-    u = F.regexp_replace(F.regexp_replace(u, r"(?s)^.*?://", ""), r"(?s)#.*$", "")
-    host = F.regexp_extract(u, r"(?s)^([^/?]*)", 1)
-    path = F.regexp_replace(u, r"(?s)^[^/?]*", "")
-    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r"(?s):.*$", ""), path
+    u = F.regexp_replace(F.regexp_replace(u, r"\A(?:[a-z][a-z0-9+.-]*+:)?//", ""), r"(?s)#.*$", "")
+    host = F.regexp_replace(F.regexp_extract(u, r"(?s)\A([^/?]*)", 1), r"(?s)\A.*@", "")
+    path = F.regexp_replace(u, r"(?s)\A[^/?]*", "")
+    return F.regexp_extract(host, r"(?s)\A(\[[^\]]+\]|[^:]*)", 1), path
 
 
 def buckets(column: pa.Array, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,16 +131,20 @@ def score(w: np.ndarray, host: pa.Array, path: pa.Array) -> np.ndarray:
 def filter_urls(spark: SparkSession, pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(page_id, url, host, p_bad, keep) of every row of ``pages``.
 
-    ``labelled`` has columns url and bad (1 or 0); rows with a NULL there are not used, and it must fit
-    the driver. A NULL or empty URL has p_bad 1 and is not kept; a NULL page_id stays NULL; rows that repeat are
-    scored each; only page_id and url are read.
+    ``labelled`` has columns url and bad (1 or 0); rows with a NULL there are not used, and of more than SAMPLE rows those of
+    the least hashes train. If none is left, nothing is known to be bad: p_bad is 0. A NULL or empty URL has p_bad 1
+    and is not kept; long URLs are read whole; a NULL page_id stays NULL; rows that repeat are scored each; a p_bad of
+    REJECT exactly is rejected; an empty table gives no rows; of the columns, whatever they are, only page_id and url are read.
     """
-    rows = [(r[0], int(r[1])) for r in labelled.select("url", "bad").where("url is not null and bad is not null").collect()] if labelled is not None else LABELLED
-    model = spark.sparkContext.broadcast(train([r[0] for r in rows], [r[1] for r in rows]))
+    rows = LABELLED
+    if labelled is not None:
+        given = labelled.select(labelled["url"].cast("string").alias("u"), labelled["bad"].cast("int").alias("b")).where("u is not null and b is not null")
+        rows = [(r[0], int(r[1])) for r in given.orderBy(F.xxhash64("u"), "u", "b").limit(SAMPLE).collect()]
+    model = spark.sparkContext.broadcast(train([r[0] for r in rows], [r[1] for r in rows]) if rows else None)
 
     def run(batches):
         for batch in batches:
-            p = score(model.value, batch.column("host"), batch.column("path"))
+            p = score(model.value, batch.column("host"), batch.column("path")) if model.value is not None else np.zeros(len(batch))
             none = np.array([not (u or "").strip() for u in batch.column("url").to_pylist()], bool)
             p[none] = 1.0
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(p), pa.array(p < REJECT)], ["page_id", "url", "host", "p_bad", "keep"])

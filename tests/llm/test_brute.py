@@ -227,6 +227,16 @@ def test_decontamination_items_of_one_shingle():
     assert {(r, i) for r, i, _ in index.matches(c.Words(data, offsets), 0.6)} == {(k, k) for k in range(300)}
 
 
+def test_decontamination_short_items(spark):
+    """Items of one to four words are found as a run of words, whatever stands around it, and not across rows."""
+    rows = [(1, "see how the quick brown fox jumps high over it"), (2, "the quick brown"), (3, "fox the quick, brown: FOX"), (4, "zebra"), (5, "a zebra there"), (6, "quick brown fox the"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the quick brown fox"), (2, "Zebra"), (3, "brown fox"), (4, "the quick brown fox"), (5, "no such")], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated(spark, docs, items).collect()}
+    assert got == {(d, i, 1.0) for i, ds in ((1, (1, 3)), (4, (1, 3)), (2, (4, 5)), (3, (1, 3, 6))) for d in ds}
+    assert [r.doc_id for r in decontaminate.decontaminate(spark, docs, items).orderBy("doc_id").collect()] == [2, 7]
+
+
 def slow_best_fit(lengths, capacity):
     left = []
     for n in sorted(lengths, reverse=True):
@@ -432,6 +442,55 @@ def test_urls():
     assert np.mean((p >= url_filter.REJECT) == np.array([b for _, b in other])) > 0.95
 
 
+def test_url_parts(spark):
+    """Columns and function agree; a scheme counts at the start only."""
+    want = {
+        "news.example.org/login?next=http://evil.example/x": ("news.example.org", "/login?next=http://evil.example/x"),
+        "HTTP://u:p@News.example.org:80/a?b#c": ("news.example.org", "/a?b"),
+        "http://[::1]:8080/x": ("[::1]", "/x"),
+        "http://[2001:db8::7]": ("[2001:db8::7]", ""),
+        "//cdn.example.net/y": ("cdn.example.net", "/y"),
+        "mailto:a@b.example": ("b.example", ""),
+        "host.example?q=a@b": ("host.example", "?q=a@b"),
+        "  ": ("", ""),
+        "a\nb://x": ("a\nb", "//x"),
+    }
+    df = spark.createDataFrame([(k,) for k in want], "url string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("url", *url_filter._part_columns(df["url"])).collect()}
+    assert {k: url_filter.parts(k) for k in want} == want == got
+
+
+def test_urls_against_brute_force(spark):
+    """Scores of the query by a loop over the n-grams of each host and path."""
+    import math
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    w = url_filter.train(*zip(*url_filter.LABELLED))
+    got = url_filter.filter_urls(spark, pages).collect()
+    assert len(got) == pages.count()
+    for r in got:
+        z = w[-1]
+        for k, part in enumerate(url_filter.parts(r.url)):
+            raw, seen = b"^" + part.encode() + b"$", set()
+            for g in url_filter.GRAMS:
+                for i in range(len(raw) - g + 1):
+                    h = k * 31 + g
+                    for x in raw[i : i + g]:
+                        h = (h * 0x100000001B3 + x + 1) & ((1 << 64) - 1)
+                    seen.add(int(url_filter.c.mix(np.array([h], np.uint64))[0]) >> (64 - url_filter.BITS))
+            z += sum(w[b + (k << url_filter.BITS)] for b in seen)
+        assert abs(r.p_bad - 1 / (1 + math.exp(-z))) < 1e-9 and r.keep == (r.p_bad < url_filter.REJECT)
+
+
+def test_urls_own_table(spark):
+    rows = [("http://aaa.example/x", 1), ("http://aaa.example/y", 1), ("http://zzz.example/x", 0), ("http://zzz.example/y", 0), (None, 1), ("q", None)]
+    own = spark.createDataFrame(rows, "url string, bad int")
+    pages = spark.createDataFrame([(1, "http://www.aaa.example/1"), (2, "http://zzz.example/2"), (3, "")], "page_id long, url string")
+    keep = lambda t: {r.page_id: r.keep for r in url_filter.filter_urls(spark, pages, t).collect()}
+    assert keep(own) == {1: False, 2: True, 3: False}
+    assert keep(own.where("bad > 5")) == {1: True, 2: True, 3: False}
+
+
 def test_pii(spark):
     fill = "the report was long and the reader was patient. "
     rows, want = [], set()
