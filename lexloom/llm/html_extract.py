@@ -23,7 +23,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import _common as c
@@ -32,10 +32,14 @@ from lexloom.llm import _common as c
 THRESHOLD, GAMMA = 0.7, 0.9
 #: Bytes of removed-branch keys up to which they are broadcast to the pages; beyond, pages are shuffled by host.
 BROADCAST_BYTES = 32 << 20
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|[^<]++|<""", re.S)
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"""
+    r"""|<(?P<raw>script|style|noscript|template|textarea)(?![a-zA-Z0-9])(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>.*?(?:</(?P=raw)\b[^>]*>|\Z)"""
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|[^<]++|<""",
+    re.S | re.I,
+)
 _CLASS = re.compile(r"""(?i)(?<![\w-])(class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea".split())
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 _SCOPE = frozenset("table ul ol dl div article section nav body footer header main aside td th".split())
 _BLOCK = frozenset("p div article section nav footer header main aside h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr blockquote pre figure figcaption form body html title head".split())
@@ -44,53 +48,63 @@ _M = 0xFFFFFFFFFFFFFFFF
 
 
 class Node:
-    __slots__ = ("tag", "children", "text", "key", "style")
+    __slots__ = ("tag", "name", "children", "text", "key", "style", "up")
 
-    def __init__(self, tag: str, text: str | None = None):
-        self.tag, self.text, self.children = tag, text, []
+    def __init__(self, tag: str, name: str, text: str | None = None):
+        self.tag, self.name, self.text, self.children, self.up = tag, name, text, [], 0
 
 
-def parse(source: str) -> Node:
+def _tag(name: str, attrs: str) -> tuple[str, str, bool]:
+    """(tag with its classes, name, whether it stays open) of a start tag."""
+    name = name.lower()
+    tag = name
+    if "=" in attrs and name not in _VOID:
+        tag += "".join(f".{v.strip(chr(34) + chr(39))}" for _, v in _CLASS.findall(attrs))
+    return tag, name, name not in _VOID and not attrs.endswith("/")
+
+
+def parse(source: str, seen: dict[str, tuple[str, str, bool]] | None = None) -> Node:
     """A lenient tree. Comments, declarations, scripts and styles are left out; p, li, table cells and
-    the like close their open siblings; a stray end tag is ignored; what is open at the end is closed."""
-    root = Node("#root")
-    stack, at, n = [root], 0, len(source)
-    while at < n:
-        m = _TOKEN.match(source, at)
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            s = m.group()
-            if s[0] != "<" or s == "<":
-                s = _html.unescape(s).strip()
-                if s:
-                    stack[-1].children.append(Node("#text", s))
+    the like close their open siblings; a stray end tag is ignored; what is open at the end is closed.
+    ``seen`` keeps start tags from page to page."""
+    seen = {} if seen is None else seen
+    root = Node("#root", "#root")
+    stack = [root]
+    for m in _TOKEN.finditer(source):
+        s = m.group()
+        if s[0] != "<" or s == "<":
+            s = (_html.unescape(s) if "&" in s else s).strip()
+            if s:
+                stack[-1].children.append(Node("#text", "#text", s))
+            continue
+        last = m.lastindex
+        if last is None or m.group("raw"):
             continue
-        name = name.lower()
-        if m.group(1):
+        if m.group(2):
+            name = m.group(3).lower()
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag.partition(".")[0] == name:
+                if stack[k].name == name:
                     del stack[k:]
                     break
             continue
-        attrs = m.group(3)
-        if name in _RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
-            continue
+        kind = seen.get(s)
+        if kind is None:
+            if len(seen) > 20_000:
+                seen.clear()
+            kind = seen[s] = _tag(m.group(3), m.group(4))
+        tag, name, stays = kind
         closes = _CLOSES.get(name)
         if closes:
             for k in range(len(stack) - 1, 0, -1):
-                tag = stack[k].tag.partition(".")[0]
-                if tag in closes:
+                other = stack[k].name
+                if other in closes:
                     del stack[k:]
                     break
-                if tag in _SCOPE:
+                if other in _SCOPE:
                     break
-        label = name + "".join(f".{v.strip(chr(34) + chr(39))}" for _, v in _CLASS.findall(attrs)) if "=" in attrs and name not in _VOID else name
-        node = Node(label)
+        node = Node(tag, name)
         stack[-1].children.append(node)
-        if name not in _VOID and not attrs.endswith("/"):
+        if stays:
             stack.append(node)
     return root
 
@@ -104,22 +118,32 @@ def _hash(*parts: int) -> int:
 
 
 def label(root: Node, host: int) -> list[Node]:
-    """Give every node its key in the host's merged tree and its style; parents come first."""
+    """Give every node its key in the host's merged tree, its parent's key and its style; parents come first."""
     root.key = _hash(host, 1)
     out, todo = [], [root]
     while todo:
         e = todo.pop()
         out.append(e)
-        e.style = crc32(" ".join(x.tag for x in e.children).encode()) if e.children else 0
+        children = e.children
+        if not children:
+            e.style = 0
+            continue
+        e.style = crc32(" ".join([x.tag for x in children]).encode())
         inner = _hash(e.key, e.style)
-        for i, x in enumerate(e.children):
-            x.key = _hash(inner, i + 2)
-        todo.extend(reversed(e.children))
+        # _hash(inner, place) with its first step taken once
+        first = ((0xCBF29CE484222325 ^ inner) * 0x9E3779B97F4A7C15) & _M
+        first ^= first >> 29
+        key = e.key
+        for i, x in enumerate(children, 2):
+            h = ((first ^ i) * 0x9E3779B97F4A7C15) & _M
+            x.key = h ^ (h >> 29)
+            x.up = key
+        todo.extend(reversed(children))
     return out
 
 
 def sentences(text: str) -> set[int]:
-    return {crc32(s.strip().lower().encode()) for s in _SENTENCE.split(text) if s.strip()}
+    return {crc32(s.lower().encode()) for s in map(str.strip, _SENTENCE.split(text)) if s}
 
 
 def _signed(x: int) -> int:
@@ -129,13 +153,10 @@ def _signed(x: int) -> int:
 def _stat_batches(batches):
     """Rows (host, key, parent, style, tag is text, value, pages) counted within the batch."""
     for batch in batches:
-        nodes, feats = {}, {}
+        nodes, feats, seen = {}, {}, {}
         for host, source in zip(batch.column("hkey").to_pylist(), batch.column("html").to_pylist()):
-            root = parse(source)
-            todo = label(root, host & _M)
-            up = {id(x): (e.key, i) for e in todo for i, x in enumerate(e.children)}
-            for e in todo:
-                k = (host, e.key, up[id(e)][0] if id(e) in up else 0, e.style)
+            for e in label(parse(source, seen), host & _M):
+                k = (host, e.key, e.up, e.style)
                 nodes[k] = nodes.get(k, 0) + 1
                 if e.text is not None:
                     for f in sentences(e.text):
@@ -211,14 +232,10 @@ def _host_columns(pages: DataFrame) -> DataFrame:
 
 def _distinct_pages(sites: DataFrame) -> DataFrame:
     """(hkey, html) of one page for each visible text of a host, the least by html: copies under other URLs or ids
-    and repeated rows say nothing about the site. Where one repeated row is all that a host has, it counts as two."""
+    and repeated rows say nothing about the site."""
     strip = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\b[^>]*>|\z)|<[^>]*>"
     seen = F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace("html", strip, " "), r"\s+", " ")))
-    rows = sites.select("hkey", "html", F.xxhash64("page_id", "url").alias("at"), seen.alias("seen"))
-    distinct = rows.groupBy("hkey", "seen").agg(F.min("html").alias("html"), F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
-    sole = distinct.withColumn("texts", F.count("*").over(Window.partitionBy("hkey")))
-    twice = (F.col("texts") == 1) & (F.col("n") > 1) & (F.col("a") == F.col("b"))
-    return sole.select("hkey", F.explode(F.when(twice, F.array("html", "html")).otherwise(F.array("html"))).alias("html"))
+    return sites.select("hkey", "html", seen.alias("seen")).groupBy("hkey", "seen").agg(F.min("html").alias("html")).select("hkey", "html")
 
 
 def importance(spark: SparkSession, sites: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -244,7 +261,7 @@ def importance(spark: SparkSession, sites: DataFrame, threshold: float = THRESHO
     return shared.groupBy("host").applyInPandas(per_host, "host bigint, key bigint, parent bigint, importance double, noise boolean")
 
 
-def text_of(root: Node, drop: frozenset[int] | set[int]) -> tuple[str, int]:
+def text_of(root: Node, drop: set[int] | None) -> tuple[str, int]:
     """The text outside head and dropped branches, one line a block, and the number of branches dropped."""
     out, line, gone = [], [], 0
 
@@ -256,13 +273,13 @@ def text_of(root: Node, drop: frozenset[int] | set[int]) -> tuple[str, int]:
     todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
         e, leave = todo.pop()
-        tag = e.tag.partition(".")[0]
+        tag = e.name
         if leave:
             flush()
             continue
         if tag == "head":
             continue
-        if e.key in drop:
+        if drop and e.key in drop:
             gone += 1
             continue
         if e.text is not None:
@@ -278,11 +295,12 @@ def text_of(root: Node, drop: frozenset[int] | set[int]) -> tuple[str, int]:
 
 def _extract_batches(batches):
     for batch in batches:
-        text, gone = [], []
+        text, gone, seen = [], [], {}
         for hkey, source, drop in zip(batch.column("hkey").to_pylist(), batch.column("html").to_pylist(), batch.column("drop").to_pylist()):
-            root = parse(source)
-            label(root, hkey & _M)
-            t, n = text_of(root, {k & _M for k in drop or ()})
+            root = parse(source, seen)
+            if drop:
+                label(root, hkey & _M)
+            t, n = text_of(root, {k & _M for k in drop} if drop else None)
             text.append(t)
             gone.append(n)
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(text, pa.string()), pa.array(gone, pa.int64())], ["page_id", "host", "text", "removed"])
@@ -291,10 +309,11 @@ def _extract_batches(batches):
 def extract(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, text, removed) of every row of ``pages``; removed counts the branches taken out.
 
-    A NULL or empty html has the text ''. A page whose URL is NULL or has no host is a site of its own,
-    from which nothing is removed. Pages of a host with the same visible text, whatever their
-    URLs and ids, count as one; only where one repeated row is all that a host (or, without a host, a
-    site) has, it counts as two, and nothing is left of it. Copies that differ in a word count as two pages. A NULL page_id stays NULL; an empty table gives no rows; other columns are ignored.
+    A NULL or empty html has the text ''; long pages are read whole. A page whose URL is NULL or has no host is a
+    site of its own, from which nothing is removed. Pages of a host with the same visible text, whatever their
+    URLs and ids, and repeated rows count as one page, and each row gets its text. Copies that differ in a word count
+    as two pages. A branch whose importance is the threshold exactly stays. A NULL page_id stays NULL; an empty table
+    gives no rows; other columns, whatever their names, are ignored.
     """
     sites = _host_columns(pages)
     known = c.materialize(spark, importance(spark, sites, threshold).where("noise"))

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from lexloom.llm import ann, decontaminate, language_id, line_dedup, near_dedup, packing, pii, quality, url_filter
+from lexloom.llm import ann, decontaminate, html_extract, language_id, line_dedup, near_dedup, packing, pii, quality, url_filter
 
 SF = "/root/testdata/sf0.01"
 _WORD = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
@@ -442,6 +442,106 @@ def test_urls():
     assert np.mean((p >= url_filter.REJECT) == np.array([b for _, b in other])) > 0.95
 
 
+def slow_style_tree(pages):
+    """Text of each (host, html), by trees of paths instead of counted hashes: host by host, element by element."""
+    import math
+
+    visible = lambda h: re.sub(r"\s+", " ", re.sub(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)|<[^>]*>", " ", h)).strip(" ")
+    style = lambda e: tuple(x.tag for x in e.children)
+    once = {}
+    for host, html in pages:
+        k = host, visible(html)
+        once[k] = min(html, once.get(k, html), key=str.encode)
+    by_host = defaultdict(list)
+    for (host, _), html in once.items():
+        by_host[host].append(html_extract.parse(html))
+    noise = {}
+    for host, roots in by_host.items():
+        there, said = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int))
+
+        def walk(e, path):
+            there[path][style(e)] += 1
+            if e.text is not None:
+                for s in {x.strip().lower() for x in re.split(r"(?<=[.!?])\s+|\n+", e.text) if x.strip()}:
+                    said[path][s] += 1
+            for i, x in enumerate(e.children):
+                walk(x, path + ((style(e), i),))
+
+        for r in roots:
+            walk(r, ())
+
+        def judge(path):
+            """(importance, noise) of a shared element; notes what is noise."""
+            styles = there[path]
+            m = sum(styles.values())
+            below = {s: [judge(path + ((s, i),)) for i in range(len(s))] for s, n in styles.items() if n > 1 and s}
+            if path in said:
+                seen = sum(said[path].values())
+                value = 1 - sum(n * math.log(n) for n in said[path].values()) / seen / math.log(m)
+                is_noise = value < html_extract.THRESHOLD
+            elif list(styles) == [()]:
+                value, is_noise = 0.0, True
+            else:
+                own = -sum(n / m * math.log(n / m) for n in styles.values()) / math.log(m)
+                deep = sum(n / m * (sum(v for v, _ in below[s]) / len(below[s]) if s in below else 1.0 if s else 0.0) for s, n in styles.items())
+                g = html_extract.GAMMA ** len(styles)
+                value = (1 - g) * own + g * deep
+                is_noise = value < html_extract.THRESHOLD and all(s in below or not s for s in styles) and all(z for kids in below.values() for _, z in kids)
+            noise[host, path] = is_noise
+            return value, is_noise
+
+        if len(roots) > 1:
+            judge(())
+
+    out = []
+    for host, html in pages:
+        lines, line = [], []
+
+        def write(e, path):
+            if e.tag.split(".")[0] == "head" or noise.get((host, path)):
+                return
+            if e.text is not None:
+                line.append(" ".join(e.text.split()))
+                return
+            block = e.tag.split(".")[0] in html_extract._BLOCK or e.tag == "br"
+            for stop in (True, False):
+                if block:
+                    lines.append(" ".join(line))
+                    line.clear()
+                if stop:
+                    for i, x in enumerate(e.children):
+                        write(x, path + ((style(e), i),))
+
+        write(html_extract.parse(html), ())
+        out.append("\n".join(x for x in [*lines, " ".join(line)] if x))
+    return out
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_html_against_brute_force(spark, sf):
+    """All pages, and all of them again as copies."""
+    pages = spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet")
+    rows = pages.select("page_id", "url", "html").collect()
+    host = lambda u: re.match(r"(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", u or "")
+    key = [host(r.url).group(1).lower() if host(r.url) else f"\0{r.page_id}" for r in rows]
+    want = dict(zip((r.page_id for r in rows), slow_style_tree(list(zip(key, (r.html or "" for r in rows))))))
+    plain = {r.page_id: html_extract.text_of(html_extract.parse(r.html or ""), None)[0] for r in rows}
+    assert sum(want[k] != plain[k] for k in want) >= 5  # most menus of the tables have other words on every page, and stay
+    for df in (pages, pages.union(pages)):
+        got = html_extract.extract(spark, df).collect()
+        assert len(got) == df.count() and all(r.text == want[r.page_id] for r in got)
+
+
+def test_html_every_page_twice(spark):
+    page = "<html><body><div class=menu>Home About</div><div>{}</div></body></html>"
+    bodies = ["<h1>A</h1><p>First one.</p>", "<p>Second.</p><p>More of it.</p>", "<ul><li>Third.</li></ul>", "<h2>D</h2><p>Fourth.</p><p>End.</p>"]
+    rows = [(i, f"http://a.example/{i % 4}", page.format(bodies[i % 4])) for i in range(8)] + [(8, "http://b.example/", page.format(bodies[0]))] * 2
+    got = html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = {r.page_id: r.text for r in got}
+    assert len(got) == 10 and [text[i] for i in range(4)] == ["A\nFirst one.", "Second.\nMore of it.", "Third.", "D\nFourth.\nEnd."] == [text[i] for i in range(4, 8)]
+    assert text[8] == "Home About\nA\nFirst one."
+
+
 def test_url_parts(spark):
     """Columns and function agree; a scheme counts at the start only."""
     want = {

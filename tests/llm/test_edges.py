@@ -121,7 +121,7 @@ def test_html(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("drop", F.lit(2))
     got = html_extract.extract(spark, df).collect()
     text = {r.page_id: r.text for r in got}
-    assert len(got) == 8 and text[1] == "One." and text[9] == "" and text[3] == "" and text[None] == "x\ny & <" and text[4] == "" and text[5].startswith("deep")
+    assert len(got) == 8 and text[1] == "One." and text[9] == "Home About\nTwo." and text[3] == "" and text[None] == "x\ny & <" and text[4] == "" and text[5].startswith("deep")
     assert html_extract.extract(spark, df.where("page_id = 0")).count() == 0
 
 
