@@ -154,16 +154,18 @@ def _stat_batches(batches):
     """Rows (host, key, parent, style, tag is text, value, pages) counted within the batch."""
     for batch in batches:
         nodes, feats, seen = {}, {}, {}
-        for host, source in zip(batch.column("hkey").to_pylist(), batch.column("html").to_pylist()):
+        for host, source, w in zip(batch.column("hkey").to_pylist(), batch.column("html").to_pylist(), batch.column("w").to_pylist()):
+            if w == 0:
+                continue
             for e in label(parse(source, seen), host & _M):
                 k = (host, e.key, e.up, e.style)
-                nodes[k] = nodes.get(k, 0) + 1
+                nodes[k] = nodes.get(k, 0) + w
                 if e.text is not None:
                     for f in sentences(e.text):
-                        feats[e.key, f] = feats.get((e.key, f), 0) + 1
+                        feats[e.key, f] = feats.get((e.key, f), 0) + w
         rows = [(_signed(k), h, _signed(p), s, n) for (h, k, p, s), n in nodes.items()] + [(_signed(k), None, None, f, n) for (k, f), n in feats.items()]
         cols = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["key", "host", "parent", "value", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["key", "host", "parent", "value", "n"])
 
 
 def composite(nodes: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
@@ -230,18 +232,25 @@ def _host_columns(pages: DataFrame) -> DataFrame:
     return pages.select(pages["page_id"].cast("bigint").alias("page_id"), F.when(host != "", host).alias("host"), F.when(host != "", F.xxhash64(host)).otherwise(F.xxhash64(F.lit("page"), pages["page_id"].cast("string"), html)).alias("hkey"), html.alias("html"), pages["url"].cast("string").alias("url"))
 
 
-def _distinct_pages(sites: DataFrame) -> DataFrame:
-    """(hkey, html) of one page for each visible text of a host, the least by html: copies under other URLs or ids
-    and repeated rows say nothing about the site."""
+def _weighted(spark: SparkSession, sites: DataFrame) -> DataFrame:
+    """(hkey, html, w) of ``sites``: w is 1, but where several pages of a host have the same visible text it is so for one
+    of them only, that of the least hash, and 0 for the others; w is shared among repeats of that row. So copies
+    say nothing about the site, and no page is shuffled to find that out unless most have copies."""
     strip = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\b[^>]*>|\z)|<[^>]*>"
-    seen = F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace("html", strip, " "), r"\s+", " ")))
-    return sites.select("hkey", "html", seen.alias("seen")).groupBy("hkey", "seen").agg(F.min("html").alias("html")).select("hkey", "html")
+    seen = F.xxhash64("hkey", F.trim(F.regexp_replace(F.regexp_replace("html", strip, " "), r"\s+", " ")))
+    rows = sites.select("hkey", "html", seen.alias("seen"), F.xxhash64("page_id", "url", "html").alias("row"))
+    each = rows.groupBy("seen", "row").agg(F.count("*").alias("m"))
+    copied = each.groupBy("seen").agg(F.min(F.struct("row", "m")).alias("first"), F.sum("m").alias("all")).where("`all` > 1")
+    copied = c.materialize(spark, copied.select(F.col("seen").alias("__lx_s"), F.col("first.row").alias("__lx_r"), F.col("first.m").alias("__lx_m")))
+    side = F.broadcast(copied) if copied.count() <= c.BROADCAST_IDS else copied
+    w = F.when(F.isnull("__lx_s"), 1.0).when(F.col("row") == F.col("__lx_r"), 1.0 / F.col("__lx_m")).otherwise(0.0)
+    return rows.join(side, F.col("seen") == F.col("__lx_s"), "left").select("hkey", "html", w.alias("w"))
 
 
 def importance(spark: SparkSession, sites: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(host, key, parent, importance, noise) of the elements that two or more pages of a host share."""
-    stats = _distinct_pages(sites).mapInArrow(_stat_batches, "key bigint, host bigint, parent bigint, value bigint, n int")
-    stats = stats.groupBy("key", "value", F.isnull("host").alias("feature")).agg(F.sum("n").alias("n"), F.min("host").alias("host"), F.min("parent").alias("parent"))
+    stats = _weighted(spark, sites).mapInArrow(_stat_batches, "key bigint, host bigint, parent bigint, value bigint, n double")
+    stats = stats.groupBy("key", "value", F.isnull("host").alias("feature")).agg(F.round(F.sum("n")).cast("bigint").alias("n"), F.min("host").alias("host"), F.min("parent").alias("parent"))
     x = F.col("n")
     node, feature = ~F.col("feature"), F.col("feature")
     per_key = stats.groupBy("key").agg(
