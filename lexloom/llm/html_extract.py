@@ -43,7 +43,6 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 _SCOPE = frozenset("table ul ol dl div article section nav body footer header main aside td th".split())
 _BLOCK = frozenset("p div article section nav footer header main aside h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr blockquote pre figure figcaption form body html title head".split())
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _M = 0xFFFFFFFFFFFFFFFF
 
 
@@ -143,7 +142,9 @@ def label(root: Node, host: int) -> list[Node]:
 
 
 def sentences(text: str) -> set[int]:
-    return {crc32(s.lower().encode()) for s in map(str.strip, _SENTENCE.split(text)) if s}
+    """Hashes of what stands between full stops, exclamation and question marks and line ends."""
+    parts = text.lower().replace("\n", ".").replace("!", ".").replace("?", ".").split(".")
+    return {crc32(s.encode()) for s in map(str.strip, parts) if s}
 
 
 def _signed(x: int) -> int:
@@ -233,11 +234,14 @@ def _host_columns(pages: DataFrame) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, sites: DataFrame) -> DataFrame:
-    """(hkey, html, w) of ``sites``: w is 1, but where several pages of a host have the same visible text it is so for one
+    """(hkey, html, w) of ``sites``: w is 1, but where several pages of a host have the same visible text (white space aside) it is so for one
     of them only, that of the least hash, and 0 for the others; w is shared among repeats of that row. So copies
     say nothing about the site, and no page is shuffled to find that out unless most have copies."""
-    strip = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\b[^>]*>|\z)|<[^>]*>"
-    seen = F.xxhash64("hkey", F.trim(F.regexp_replace(F.regexp_replace("html", strip, " "), r"\s+", " ")))
+    mark = r"(?s)<(?:(?=[sSnNtT!])(?:!--.*?(?:-->|\z)|(?i:(script|style|noscript|template|textarea))\b[^>]*+>.*?(?:</(?i:\1)\b[^>]*+>|\z))|[^>]*+>)"
+    text = F.regexp_replace("html", mark, "")
+    for space in " \n\t\r":
+        text = F.replace(text, F.lit(space), F.lit(""))
+    seen = F.xxhash64("hkey", text)
     rows = sites.select("hkey", "html", seen.alias("seen"), F.xxhash64("page_id", "url", "html").alias("row"))
     each = rows.groupBy("seen", "row").agg(F.count("*").alias("m"))
     copied = each.groupBy("seen").agg(F.min(F.struct("row", "m")).alias("first"), F.sum("m").alias("all")).where("`all` > 1")

@@ -462,7 +462,7 @@ def slow_style_tree(pages):
         def walk(e, path):
             there[path][style(e)] += 1
             if e.text is not None:
-                for s in {x.strip().lower() for x in re.split(r"(?<=[.!?])\s+|\n+", e.text) if x.strip()}:
+                for s in {x.strip().lower() for x in re.split(r"[.!?\n]", e.text) if x.strip()}:
                     said[path][s] += 1
             for i, x in enumerate(e.children):
                 walk(x, path + ((style(e), i),))
