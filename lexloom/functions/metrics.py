@@ -16,13 +16,37 @@ def word_vec(text: Column) -> Column:
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
     """Distinct windows of k words; fewer words are one window, no words none."""
-    w = word_vec(text)
-    # no slice of an array per window: k shifted copies are joined position by position
-    n = F.size(w) - (k - 1)
-    windows = F.slice(w, 1, F.greatest(n, F.lit(0)))
+    return _bound(word_vec(text), lambda w: _shingles(w, k))
+
+
+def _bound(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` evaluated once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _windows(w: Column, k: int, join) -> Column:
+    """The windows of k neighbours, position by position: no slice of an array per window."""
+    n = F.greatest(F.size(w) - (k - 1), F.lit(0))
+    out = F.slice(w, 1, n)
     for j in range(1, k):
-        windows = F.zip_with(windows, F.slice(w, j + 1, F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(n <= 0, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(windows))
+        out = F.zip_with(out, F.slice(w, j + 1, n), join)
+    return out
+
+
+def hash_sets(text: Column, k: int = SHINGLE) -> Column:
+    """A struct of the distinct words and shingles of a text as 64-bit hashes, which is all that shares need."""
+
+    def sets(h: Column) -> Column:
+        short = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(h)))
+        some = F.when(F.size(h) < k, short).otherwise(F.array_distinct(_windows(h, k, lambda a, b: F.xxhash64(a, b))))
+        return F.struct(F.array_distinct(h).alias("words"), some.alias("shingles"))
+
+    return _bound(F.transform(word_vec(text), lambda x: F.xxhash64(x)), sets)
+
+
+def _shingles(w: Column, k: int) -> Column:
+    windows = _windows(w, k, lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(windows))
 
 
 def words(text: Column) -> Column:
@@ -35,15 +59,18 @@ def share(of: Column, within: Column) -> Column:
 
 
 def precision(text: Column, truth: Column) -> Column:
-    return share(shingles(text), shingles(truth))
+    """Share of the text's shingles that the truth has."""
+    return share(hash_sets(text)["shingles"], hash_sets(truth)["shingles"])
 
 
 def coverage(text: Column, truth: Column) -> Column:
-    return share(shingles(truth), shingles(text))
+    """Share of the truth's shingles that the text has."""
+    return share(hash_sets(truth)["shingles"], hash_sets(text)["shingles"])
 
 
 def word_precision(text: Column, truth: Column) -> Column:
-    return share(words(text), words(truth))
+    """Share of the text's words that the truth has."""
+    return share(hash_sets(text)["words"], hash_sets(truth)["words"])
 
 
 def is_faithful(precision: Column, word_precision: Column, has_table: Column) -> Column:

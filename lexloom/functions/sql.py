@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udf
 
 from lexloom.operators import parser, render
-from lexloom.operators.pages import FIELDS, parse_column  # noqa: F401
+from lexloom.operators.pages import FIELDS, parse_udf
 from lexloom.operators.strip import decode, strip
 
 
@@ -18,8 +18,18 @@ def _strings(f):
     return arrow_udf(run, "string")
 
 
+def _sections():
+    def run(column: pa.Array) -> pa.Array:
+        from lexloom.operators.pages import _MAKE
+
+        return _MAKE["sections"]([parser.parse(t or "") for t in column.to_pylist()])
+
+    return arrow_udf(run, FIELDS["sections"])
+
+
 def register(spark: SparkSession) -> None:
-    """wiki_strip, wiki_decode, wiki_plain, wiki_markdown, wiki_href (strings) and looks_clean. NULL gives NULL."""
+    """wiki_strip, wiki_decode, wiki_plain, wiki_markdown, wiki_href (strings) and looks_clean, for which NULL gives NULL;
+    wiki_parse (a struct of all FIELDS) and wiki_sections (an array), for which NULL is an empty page."""
     from lexloom.functions.wikitext import RESIDUALS
 
     def clean(column: pa.Array) -> pa.Array:
@@ -30,4 +40,6 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("wiki_plain", _strings(lambda t: render.plain(parser.parse(t).nodes)))
     spark.udf.register("wiki_markdown", _strings(lambda t: render.markdown(parser.parse(t).nodes)))
     spark.udf.register("wiki_href", _strings(render.md_href))
+    spark.udf.register("wiki_parse", parse_udf(FIELDS))
+    spark.udf.register("wiki_sections", _sections())
     spark.udf.register("looks_clean", arrow_udf(clean, "boolean"))

@@ -6,6 +6,8 @@ reads its fields, so that one plan has one Python step however many outputs it g
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -15,11 +17,15 @@ from pyspark.sql.functions import arrow_udf
 
 from lexloom.functions import metrics as M
 from lexloom.functions import wikitext as W
+from lexloom.operators import parser, render
 
 RUN = "struct<text:string,bold:boolean,italic:boolean,link:int,target:string>"
 FIELDS = {
     "text": "string",
     "markdown": "string",
+    # the Markdown normal form as JSON
+    "normal": "string",
+    "links": "array<struct<block:int,link:int,target:string,label:string,external:boolean>>",
     "sections": "array<struct<level:int,heading:string,text:string>>",
     "diagnostics": "array<struct<code:string,severity:string,start:bigint,end:bigint,message:string>>",
     "blocks": "array<struct<kind:string,level:int,ordered:boolean,start:bigint,end:bigint,source:string"
@@ -27,30 +33,58 @@ FIELDS = {
 }
 
 
-def _runs(nodes: list[tuple]) -> list[dict]:
-    """Inline nodes flattened to styled runs; the runs of one link share a number, a bare link has one of text ''."""
-    out: list[dict] = []
-    links = 0
+class _List:
+    """A list column that grows by entries; ``None`` is a NULL entry. Its elements are counted by what holds them."""
 
-    def walk(nodes: list[tuple], bold: bool, italic: bool, link: int | None, target: str | None) -> None:
-        nonlocal links
-        for n in nodes:
-            if n[0] == "text":
-                out.append({"text": n[1], "bold": bold, "italic": italic, "link": link, "target": target})
-            elif n[0] == "bold":
-                walk(n[1], True, italic, link, target)
-            elif n[0] == "italic":
-                walk(n[1], bold, True, link, target)
-            elif n[0] == "link":
-                links += 1
-                walk(n[2] or [("text", "")], bold, italic, links, n[1])
-
-    walk(nodes, False, False, None, None)
-    return out
+    def __init__(self):
+        self.at, self.null = [0], []
+
+    def close(self, n: int, null: bool = False) -> None:
+        self.at.append(n)
+        self.null.append(null)
+
+    def array(self, values: pa.Array) -> pa.Array:
+        mask = pa.array(self.null, pa.bool_()) if any(self.null) else None
+        return pa.ListArray.from_arrays(pa.array(self.at, pa.int32()), values, mask=mask)
+
+
+class _Runs(_List):
+    """Lists of styled runs out of inline nodes; the runs of one link share a number, a bare link has one of text ''."""
 
+    def __init__(self):
+        super().__init__()
+        self.text, self.bold, self.italic, self.link, self.target = [], [], [], [], []
+        self.links = 0
 
-def _items(node: tuple) -> list[dict]:
-    out = []
+    def add(self, nodes: list[tuple] | None) -> None:
+        self.links = 0
+        self._walk(nodes or (), False, False, None, None)
+        self.close(len(self.text), nodes is None)
+
+    def _walk(self, nodes, bold: bool, italic: bool, link: int | None, target: str | None) -> None:
+        for n in nodes:
+            kind = n[0]
+            if kind == "text":
+                self.text.append(n[1])
+                self.bold.append(bold)
+                self.italic.append(italic)
+                self.link.append(link)
+                self.target.append(target)
+            elif kind == "bold":
+                self._walk(n[1], True, italic, link, target)
+            elif kind == "italic":
+                self._walk(n[1], bold, True, link, target)
+            elif kind == "link":
+                self.links += 1
+                self._walk(n[2] or [("text", "")], bold, italic, self.links, n[1])
+
+    def column(self) -> pa.Array:
+        parts = (pa.array(self.text, pa.string()), pa.array(self.bold, pa.bool_()), pa.array(self.italic, pa.bool_()), pa.array(self.link, pa.int32()), pa.array(self.target, pa.string()))
+        return self.array(pa.StructArray.from_arrays(parts, ["text", "bold", "italic", "link", "target"]))
+
+
+def _items(node: tuple):
+    """(depth, ordered, inline nodes) of each item of a list, in reading order."""
     todo = [(1, node[1], iter(node[2]))]
     while todo:
         depth, ordered, rest = todo[-1]
@@ -58,58 +92,134 @@ def _items(node: tuple) -> list[dict]:
         if item is None:
             todo.pop()
             continue
-        out.append({"depth": depth, "ordered": ordered, "runs": _runs([n for n in item if n[0] != "list"])})
+        yield depth, ordered, [n for n in item if n[0] != "list"]
         todo += [(depth + 1, n[1], iter(n[2])) for n in reversed(item) if n[0] == "list"]
-    return out
 
 
-def _block(node: tuple, span: tuple[int, int]) -> dict:
-    kind = node[0]
-    out = dict.fromkeys(("level", "ordered", "source", "runs", "items", "lines", "rows")) | {"kind": kind, "start": span[0], "end": span[1]}
+def _blocks(pages: list) -> pa.Array:
+    kinds, levels, ordered, starts, ends, sources = [], [], [], [], [], []
+    page, runs = _List(), _Runs()
+    items, depths, turns, item_runs = _List(), [], [], _Runs()
+    lines, line_runs = _List(), _Runs()
+    rows, cells, cell_runs = _List(), _List(), _Runs()
+    for p in pages:
+        for n, (start, end) in zip(p.nodes, p.spans):
+            kind = n[0]
+            kinds.append(kind)
+            starts.append(start)
+            ends.append(end)
+            levels.append(n[1] if kind == "heading" else None)
+            ordered.append(n[1] if kind == "list" else None)
+            sources.append(n[1] if kind == "unsupported" else None)
+            runs.add(n[2] if kind == "heading" else n[1] if kind == "paragraph" else None)
+            if kind == "list":
+                for depth, turn, inner in _items(n):
+                    depths.append(depth)
+                    turns.append(turn)
+                    item_runs.add(inner)
+            elif kind == "preformatted":
+                for line in n[1]:
+                    line_runs.add(line)
+            elif kind == "table":
+                for row in n[1]:
+                    for cell in row:
+                        cell_runs.add(cell)
+                    cells.close(len(cell_runs.null))
+            items.close(len(depths), kind != "list")
+            lines.close(len(line_runs.null), kind != "preformatted")
+            rows.close(len(cells.null), kind != "table")
+        page.close(len(kinds))
+    item = pa.StructArray.from_arrays([pa.array(depths, pa.int32()), pa.array(turns, pa.bool_()), item_runs.column()], ["depth", "ordered", "runs"])
+    parts = {
+        "kind": pa.array(kinds, pa.string()), "level": pa.array(levels, pa.int32()), "ordered": pa.array(ordered, pa.bool_()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64()),
+        "source": pa.array(sources, pa.string()), "runs": runs.column(), "items": items.array(item), "lines": lines.array(line_runs.column()), "rows": rows.array(cells.array(cell_runs.column())),
+    }
+    return page.array(pa.StructArray.from_arrays(list(parts.values()), list(parts)))
+
+
+def _links(nodes: list[tuple], out: list[tuple], block: int, count: list[int]) -> None:
+    """(block, number, target, label) of every link, an outer one before those in its label."""
+    for n in nodes:
+        kind = n[0]
+        if kind == "link":
+            label: list[str] = []
+            render._inline_text(n[2], label)
+            out.append((block, count[0], n[1], "".join(label)))
+            count[0] += 1
+            _links(n[2], out, block, count)
+        elif kind in ("bold", "italic"):
+            _links(n[1], out, block, count)
+
+
+def _block_links(node: tuple, block: int, out: list[tuple]) -> None:
+    kind, count = node[0], [0]
     if kind == "heading":
-        out |= {"level": node[1], "runs": _runs(node[2])}
+        parts = [node[2]]
     elif kind == "paragraph":
-        out["runs"] = _runs(node[1])
+        parts = [node[1]]
     elif kind == "list":
-        out |= {"ordered": node[1], "items": _items(node)}
+        parts = (inner for _, _, inner in _items(node))
     elif kind == "preformatted":
-        out["lines"] = [_runs(x) for x in node[1]]
+        parts = node[1]
     elif kind == "table":
-        out["rows"] = [[_runs(c) for c in row] for row in node[1]]
+        parts = (cell for row in node[1] for cell in row)
     else:
-        out["source"] = node[1]
-    return out
-
-
-_SPAN = ("code", "severity", "start", "end", "message")
+        parts = ()
+    for inner in parts:
+        _links(inner, out, block, count)
+
+
+def _structs(per_page: list[list[tuple]], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.Array:
+    """A list of structs for each page, out of tuples."""
+    page, flat = _List(), []
+    for rows in per_page:
+        flat += rows
+        page.close(len(flat))
+    columns = list(zip(*flat)) if flat else [()] * len(names)
+    return page.array(pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], list(names)))
+
+
+def _all_links(pages: list) -> pa.Array:
+    per_page = []
+    for p in pages:
+        out: list[tuple] = []
+        for block, n in enumerate(p.nodes):
+            _block_links(n, block, out)
+        per_page.append([(*x, _EXTERNAL.match(x[2]) is not None) for x in out])
+    return _structs(per_page, ("block", "link", "target", "label", "external"), (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_()))
+
+
+_EXTERNAL = re.compile(r"(?:https?:|ftp:|mailto:|)//|mailto:")
+_DIAGNOSTIC = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+#: A column of each field, straight from the parsed pages of a batch.
 _MAKE = {
-    "text": lambda p, r: r.plain(p.nodes),
-    "markdown": lambda p, r: r.markdown(p.nodes),
-    "sections": lambda p, r: [dict(zip(("level", "heading", "text"), s)) for s in r.sections(p.nodes)],
-    "diagnostics": lambda p, r: [dict(zip(_SPAN, d)) for d in p.diagnostics],
-    "blocks": lambda p, r: [_block(n, s) for n, s in zip(p.nodes, p.spans)],
+    "text": lambda ps: pa.array([render.plain(p.nodes) for p in ps], pa.string()),
+    "markdown": lambda ps: pa.array([render.markdown(p.nodes) for p in ps], pa.string()),
+    "normal": lambda ps: pa.array([json.dumps(render.normal_form(p.nodes), ensure_ascii=False) for p in ps], pa.string()),
+    "sections": lambda ps: _structs([render.sections(p.nodes) for p in ps], ("level", "heading", "text"), (pa.int32(), pa.string(), pa.string())),
+    "diagnostics": lambda ps: _structs([p.diagnostics for p in ps], ("code", "severity", "start", "end", "message"), _DIAGNOSTIC),
+    "links": _all_links,
+    "blocks": _blocks,
 }
 
 
-def parse_column(text: Column, fields: Iterable[str] = ("text", "diagnostics")) -> Column:
-    """A struct of the chosen ``FIELDS`` of each page from one parse; a NULL text is an empty page."""
+def parse_udf(fields: Iterable[str]):
+    """The function of :func:`parse_column`, which may be registered for SQL."""
     fields = tuple(fields)
     if not fields or set(fields) - set(FIELDS):
         raise ValueError(f"fields must be some of {', '.join(FIELDS)}")
-    kind = f"struct<{','.join(f'{f}:{FIELDS[f]}' for f in fields)}>"
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_type(_parse_datatype_string(kind))
 
     def run(column: pa.Array) -> pa.Array:
-        from lexloom.operators import parser, render
-
         pages = [parser.parse(t or "") for t in column.to_pylist()]
-        return pa.array([{f: _MAKE[f](p, render) for f in fields} for p in pages], arrow)
+        return pa.StructArray.from_arrays([_MAKE[f](pages) for f in fields], list(fields))
 
-    return arrow_udf(run, kind)(text)
+    # declared so that no rule of the optimizer copies the call into a filter, where a page would be parsed again
+    return arrow_udf(run, f"struct<{','.join(f'{f}:{FIELDS[f]}' for f in fields)}>").asNondeterministic()
+
+
+def parse_column(text: Column, fields: Iterable[str] = ("text", "diagnostics")) -> Column:
+    """A struct of the chosen ``FIELDS`` of each page from one parse; a NULL text is an empty page."""
+    return parse_udf(fields)(text)
 
 
 def with_parsed(pages: DataFrame, fields: Iterable[str] = ("text", "diagnostics"), text_col: str = "text", to: str = "parsed") -> DataFrame:
@@ -197,23 +307,10 @@ def block_runs(b: Column) -> Column:
     return F.concat(*[F.coalesce(p, none) for p in parts])
 
 
-def links_of(parsed: DataFrame, *keys: str, blocks: str = "blocks") -> DataFrame:
-    """(keys, block, link, target, label, external): the link graph, a row for each link of each page."""
-    runs = parsed.select(*keys, F.posexplode(blocks).alias("block", "b")).select(*keys, "block", F.posexplode(block_runs(F.col("b"))).alias("pos", "r")).where("r.link is not null")
-    ext = F.col("target").rlike(r"\A(?:https?:|ftp:|mailto:|)//|\Amailto:")
-    # numbers of links start anew in every item, line and cell: a link is a stretch of one number and target
-    ordered = F.sort_array(F.collect_list(F.struct("pos", F.col("r.link").alias("link"), F.col("r.target").alias("target"), F.col("r.text").alias("text"))))
-    grouped = runs.groupBy(*keys, "block").agg(ordered.alias("x"))
-    start = F.array().cast("array<struct<pos:int,link:int,target:string,label:string>>")
-
-    def join(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        same = (F.size(acc) > 0) & (last["link"] == x["link"]) & (last["target"] == x["target"]) & (last["pos"] == x["pos"] - 1)
-        new = F.struct(x["pos"].alias("pos"), x["link"].alias("link"), x["target"].alias("target"), F.when(same, F.concat(last["label"], x["text"])).otherwise(x["text"]).alias("label"))
-        return F.concat(F.slice(acc, 1, F.when(same, F.size(acc) - 1).otherwise(F.size(acc))), F.array(new))
-
-    made = grouped.select(*keys, "block", F.posexplode(F.aggregate("x", start, join)).alias("link", "l"))
-    return made.select(*keys, "block", "link", "l.target", "l.label").withColumn("external", ext)
+def links_of(parsed: DataFrame, *keys: str, links: str = "links") -> DataFrame:
+    """(keys, block, link, target, label, external): the link graph, a row for each link of each page. Narrow: a page's links
+    come from its own row, so that pages may share a key."""
+    return parsed.select(*keys, F.explode(links).alias("__l")).select(*keys, "__l.block", "__l.link", "__l.target", "__l.label", "__l.external")
 
 
 # ---------------------------------------------------------------- agreement
@@ -222,7 +319,8 @@ def links_of(parsed: DataFrame, *keys: str, blocks: str = "blocks") -> DataFrame
 def agreement(pairs: DataFrame, text: str = "text", truth: str = "truth", unsupported: Column | None = None, table: Column | None = None) -> DataFrame:
     """``pairs`` plus precision, coverage, word_precision, faithful and bucket."""
     t, u = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(truth), F.lit(""))
-    sets = pairs.withColumn("__s", F.struct(M.shingles(t).alias("a"), M.shingles(u).alias("b"), M.words(t).alias("c"), M.words(u).alias("d")))
+    sets = pairs.withColumn("__s", F.struct(M.hash_sets(t).alias("t"), M.hash_sets(u).alias("u")))
+    sets = sets.withColumn("__s", F.struct(F.col("__s.t.shingles").alias("a"), F.col("__s.u.shingles").alias("b"), F.col("__s.t.words").alias("c"), F.col("__s.u.words").alias("d")))
     s = F.col("__s")
     out = sets.withColumns({"precision": M.share(s["a"], s["b"]), "coverage": M.share(s["b"], s["a"]), "word_precision": M.share(s["c"], s["d"])}).drop("__s")
     no = F.lit(False)

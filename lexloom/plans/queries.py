@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import metrics as M
 from lexloom.functions import wikitext as W
 from lexloom.operators import pages as P
-from lexloom.sources import cases, dump, sinks
+from lexloom.sources import cases, dump, sinks, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +39,7 @@ _BASE = f"(SELECT doc_id, CAST(doc_id AS VARCHAR) AS n, {_PROSE.replace('{G}', '
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = tables.read(spark, sf_dir, "documents")
     prose = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}.,]+", " "))
     return d.select("doc_id", F.col("doc_id").cast("string").alias("n"), prose.alias("p"))
 
@@ -80,7 +80,7 @@ def xml_scan(spark, sf_dir):
 
 @query("SELECT doc_id * 1000 AS start, lead(doc_id * 1000, 1, 10000000000) OVER (ORDER BY doc_id) AS \"end\" FROM (SELECT DISTINCT doc_id FROM documents UNION SELECT 0)")
 def multistream_ranges(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") * 1000).alias("offset"))
+    d = tables.read(spark, sf_dir, "documents").select((F.col("doc_id") * 1000).alias("offset"))
     return dump.ranges_of(d.union(spark.range(1)).distinct(), 10_000_000_000)
 
 
@@ -147,13 +147,13 @@ def residual_tally(spark, sf_dir):
 
 @query()
 def html_strip_tags(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = tables.read(spark, sf_dir, "pages")
     return pages.select("page_id", W.decode_entities(W.strip_tags(W.strip_comments_refs(F.coalesce("html", F.lit(""))))).alias("text"))
 
 
 @query()
 def html_to_prose(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", cases.html_to_text(F.col("html")).alias("text"))
+    return tables.read(spark, sf_dir, "pages").select("page_id", cases.html_to_text(F.col("html")).alias("text"))
 
 
 # ---------------------------------------------------------------- parser
@@ -201,7 +201,7 @@ def parse_preformatted(spark, sf_dir):
 
 @query("SELECT doc_id, l.block, l.label, CASE WHEN l.target = '' THEN concat('Page ', n) ELSE l.target END AS target, l.ext AS external FROM BASE, (VALUES (0, 'label', '', false), (0, 'site', 'https://a.example/x?y=1', true), (1, 'one', 'X', false), (3, 'y', 'Y', false)) l(block, label, target, ext)")
 def link_graph(spark, sf_dir):
-    return P.links_of(_parsed(spark, sf_dir, "blocks").select("doc_id", "parsed.blocks"), "doc_id").select("doc_id", "block", "label", "target", "external")
+    return P.links_of(_parsed(spark, sf_dir, "links").select("doc_id", "parsed.links"), "doc_id").select("doc_id", "block", "label", "target", "external")
 
 
 # ---------------------------------------------------------------- diagnostics
@@ -293,12 +293,12 @@ _SETS = f"""s AS (SELECT doc_id, w, list_distinct(w) AS ws, CASE WHEN len(w) = 0
 @query(f"WITH {_SETS} SELECT doc_id, len(w) AS words, len(ws) AS distinct_words, len(sh) AS shingles FROM s")
 def word_and_shingle_counts(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(M.word_vec(t)).alias("words"), F.size(M.words(t)).alias("distinct_words"), F.size(M.shingles(t)).alias("shingles"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", F.size(M.word_vec(t)).alias("words"), F.size(M.words(t)).alias("distinct_words"), F.size(M.shingles(t)).alias("shingles"))
 
 
 def _judged(spark, sf_dir):
     """Each document against its neighbour by number; every ninth as if it had a diagnostic."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
     other = d.select((F.col("doc_id") + 1).alias("oid"), F.col("text").alias("truth"))
     pairs = d.join(other, F.col("doc_id") == F.col("oid"), "left").withColumn("truth", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("truth")))
     return P.agreement(pairs, unsupported=F.col("doc_id") % 9 == 0, table=F.col("doc_id") % 4 == 1)
