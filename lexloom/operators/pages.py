@@ -280,6 +280,30 @@ def diagnostic_tally(extracted: DataFrame, diagnostics: str = "diagnostics") ->
     return per_page.groupBy("code").agg(F.sum("n").alias("occurrences"), F.count("*").alias("pages")).orderBy(F.desc("pages"), "code")
 
 
+def coverage(extracted: DataFrame, diagnostics: str = "diagnostics") -> DataFrame:
+    """One row: cases, those without any diagnostic (passing) and their share in per cent."""
+    return extracted.agg(F.count("*").alias("cases"), F.count_if(F.size(diagnostics) == 0).alias("passing")).withColumn("passing_pct", _percent(F.col("passing"), F.col("cases")))
+
+
+def code_histogram(extracted: DataFrame, diagnostics: str = "diagnostics") -> DataFrame:
+    """(code, severity, occurrences, cases) of every code, warnings too, most cases first."""
+    kinds = F.array_distinct(F.transform(diagnostics, lambda d: F.struct(d["code"].alias("code"), d["severity"].alias("severity"))))
+    count = lambda k: F.size(F.filter(diagnostics, lambda d: (d["code"] == k["code"]) & (d["severity"] == k["severity"])))
+    per_page = extracted.select(F.explode(F.transform(kinds, lambda k: F.struct(k["code"].alias("code"), k["severity"].alias("severity"), count(k).alias("n")))).alias("x"))
+    return per_page.groupBy("x.code", "x.severity").agg(F.sum("x.n").alias("occurrences"), F.count("*").alias("cases")).orderBy(F.desc("cases"), "code")
+
+
+def passing(extracted: DataFrame, key: str = "name", diagnostics: str = "diagnostics") -> DataFrame:
+    """The distinct names without any diagnostic: what :func:`ratchet` compares with its baseline."""
+    return extracted.where(F.size(diagnostics) == 0).select(key).distinct()
+
+
+def residual_tally(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(mark, pages): in how many texts each bracket pair of wikitext is left."""
+    row = texts.agg(*[F.count_if(F.col(text).contains(m)).alias(m) for m in W.RESIDUALS])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("mark"), F.col(f"`{m}`").alias("pages")) for m in W.RESIDUALS])).alias("x")).select("x.*")
+
+
 def _count_code(m: Column, d: Column) -> Column:
     code = d["code"]
     rest = F.map_filter(m, lambda k, _: k != code)
@@ -328,6 +352,14 @@ def agreement(pairs: DataFrame, text: str = "text", truth: str = "truth", unsupp
     return out.withColumn("bucket", M.bucket(no if unsupported is None else unsupported, F.col("faithful")))
 
 
+def diff(pairs: DataFrame, wikitext: str = "wikitext", truth: str = "truth") -> DataFrame:
+    """``pairs`` of pages and reference texts, parsed and judged: plus text, diagnostics, has_table and the columns of
+    :func:`agreement`. :func:`report` and :func:`lowest` sum it up."""
+    p = with_parsed(pairs, ("text", "diagnostics", "blocks"), wikitext, "__p")
+    p = p.withColumns({"text": F.col("__p.text"), "diagnostics": F.col("__p.diagnostics"), "has_table": has_table(F.col("__p.blocks"))}).drop("__p")
+    return agreement(p, "text", truth, has_unsupported(F.col("diagnostics")), F.col("has_table"))
+
+
 def report(judged: DataFrame, text: str = "text") -> DataFrame:
     """One row over judged pages: buckets with their percentages, mean scores, faithful and empty outputs."""
     n = F.count("*")

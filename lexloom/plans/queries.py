@@ -6,7 +6,9 @@ is put into markup of which it is known what must come out, and the SQL says tha
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import metrics as M
 from lexloom.functions import wikitext as W
 from lexloom.operators import pages as P
-from lexloom.sources import cases, dump, sinks, tables
+from lexloom.sources import cases, dump, scratch, sinks, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -140,9 +142,7 @@ def looks_clean_rate(spark, sf_dir):
 @query("SELECT m.mark, count(*) FILTER (doc_id % 6 = m.k) AS pages FROM BASE, (VALUES ('{{', 0), ('}}', 1), ('[[', 2), (']]', 3), ('{|', 4), ('|}', 5)) m(mark, k) GROUP BY m.mark")
 def residual_tally(spark, sf_dir):
     marks = F.array(*[F.lit(m) for m in W.RESIDUALS])
-    made = _docs(spark, sf_dir).select(F.concat("p", F.lit(" "), F.get(marks, (F.col("doc_id") % 6).cast("int"))).alias("t"))
-    row = made.agg(*[F.count_if(F.col("t").contains(m)).alias(m) for m in W.RESIDUALS])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("mark"), F.col(f"`{m}`").alias("pages")) for m in W.RESIDUALS])).alias("x")).select("x.*")
+    return P.residual_tally(_docs(spark, sf_dir).select(F.concat("p", F.lit(" "), F.get(marks, (F.col("doc_id") % 6).cast("int"))).alias("text")))
 
 
 @query()
@@ -345,3 +345,210 @@ def parser_cases(spark, sf_dir):
 @query()
 def title_sample(spark, sf_dir):
     return cases.sample_titles(_pages(spark, sf_dir), 20)
+
+
+# ---------------------------------------------------------------- files: what is written is read again
+
+_WIKI = "concat('Lead ''''', p, ''''' [[a|b]]', E, E, '* x &amp; <b>y</b> é')"
+_SIMPLE = "concat('Lead ', p, ' b', E, E, 'x & y é')"
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """Pages of every document with some markup, as a dump may have them."""
+    d = _docs(spark, sf_dir)
+    ns = F.when(F.col("doc_id") % 5 == 4, 1).otherwise(0)
+    wiki = F.concat(F.lit("Lead ''"), "p", F.lit("'' [[a|b]]\n\n* x &amp; <b>y</b> é"))
+    return d.select("doc_id", F.concat(F.lit("Doc <&"), "n").alias("title"), ns.alias("namespace"), (F.col("doc_id") % 7 == 3).alias("redirect"), wiki.alias("text"))
+
+
+_FILES = f"SELECT concat('Doc <&', n) AS title, {_NS} AS namespace, doc_id % 7 = 3 AS redirect, {_WIKI} AS text FROM BASE"
+
+
+@query(_FILES)
+def dump_files(spark, sf_dir):
+    path = scratch.new_path(spark)
+    dump.write_dump(_files(spark, sf_dir), path)
+    return dump.read_dump(spark, path).drop("ord")
+
+
+@query(_FILES)
+def dump_files_bz2(spark, sf_dir):
+    path = scratch.new_path(spark)
+    dump.write_dump(_files(spark, sf_dir), path, "bzip2")
+    return dump.read_dump(spark, path).drop("ord")
+
+
+def _multistream(spark, sf_dir) -> tuple[str, str]:
+    path = f"{scratch.folder(spark)}/{uuid.uuid4().hex}.xml.bz2"
+    dump.write_multistream(_files(spark, sf_dir), path, path + ".txt", 20)
+    return path, path + ".txt"
+
+
+@query(_FILES)
+def multistream_files(spark, sf_dir):
+    """A dump of many streams, read by its index in several tasks."""
+    path, index = _multistream(spark, sf_dir)
+    return dump.read_multistream(spark, path, index, range_bytes=64 << 10).drop("ord")
+
+
+@query("SELECT count(*) AS pages, true AS contiguous, true AS whole FROM BASE")
+def multistream_index(spark, sf_dir):
+    """Ranges of a written index: every page once, each range begins where one ends, from the dump's start to its end."""
+    path, index = _multistream(spark, sf_dir)
+    size = os.path.getsize(path)
+    ranges = dump.multistream_ranges(spark, index, size)
+    met = ranges.alias("a").join(ranges.alias("b"), F.col("a.end") == F.col("b.start")).count()
+    n, first, last = ranges.agg(F.count("*"), F.min("start"), F.max("end")).first()
+    return spark.read.text(index).agg(F.count("*").alias("pages")).withColumns({"contiguous": F.lit(met == n - 1), "whole": F.lit((first, last) == (0, size))})
+
+
+def _written(spark, sf_dir, fmt: str, engine: str = "ast") -> DataFrame:
+    """The lines of a sink's one file."""
+    path = scratch.new_path(spark)
+    pages = _files(spark, sf_dir).withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))).withColumn("ord", F.col("doc_id"))
+    sinks.write(sinks.extract(pages, engine, fmt), path, fmt, one_file=True)
+    return spark.read.text(path)
+
+
+_LINES = "SELECT value, sum(pages)::BIGINT AS pages FROM (SELECT concat('Lead ', p, ' b') AS value, count(*) AS pages FROM BASE GROUP BY ALL UNION ALL SELECT v, count(*) FROM BASE, (VALUES ('x & y é'), ('')) t(v) GROUP BY v) GROUP BY value"
+
+
+@query(_LINES)
+def text_files(spark, sf_dir):
+    return _written(spark, sf_dir, "text").groupBy("value").agg(F.count("*").alias("pages"))
+
+
+@query(_LINES)
+def text_files_strip(spark, sf_dir):
+    return _written(spark, sf_dir, "text", "strip").groupBy("value").agg(F.count("*").alias("pages"))
+
+
+@query(f"SELECT concat('Doc ', n) AS title, {_SIMPLE} AS text, 0 AS diagnostics FROM BASE")
+def jsonl_files(spark, sf_dir):
+    v = F.from_json("value", "title string, text string, diagnostics array<struct<code:string>>")
+    return _written(spark, sf_dir, "jsonl").select(v.alias("v")).select("v.title", "v.text", F.size("v.diagnostics").alias("diagnostics"))
+
+
+@query(f"SELECT concat('Doc ', n) AS title, 0 AS level, '' AS heading, {_SIMPLE} AS text FROM BASE")
+def sections_files(spark, sf_dir):
+    v = F.from_json("value", "title string, sections array<struct<level:int,heading:string,text:string>>")
+    return _written(spark, sf_dir, "sections").select(v.alias("v")).select("v.title", F.explode("v.sections").alias("s")).select("title", "s.level", "s.heading", "s.text")
+
+
+@query("SELECT n AS name FROM BASE WHERE p <> '' GROUP BY n")
+def name_list(spark, sf_dir):
+    path = scratch.new_path(spark)
+    lines = F.array(F.lit("# no name"), F.lit("  "), F.concat(F.lit(" "), "n", F.lit("  ")))
+    _docs(spark, sf_dir).where("p <> ''").select(F.explode(lines).alias("value")).write.text(path)
+    return cases.read_names(spark, path).distinct()
+
+
+@query("SELECT least(count(*), 7) AS names FROM BASE")
+def name_list_limit(spark, sf_dir):
+    path = scratch.new_path(spark)
+    _docs(spark, sf_dir).select(F.concat(F.lit("n"), "n").alias("value")).write.text(path)
+    return cases.read_names(spark, path, 7).agg(F.count("*").alias("names"))
+
+
+@query("SELECT doc_id, concat(t.a, p) AS title FROM BASE, (VALUES ('A '), ('B \"x\" ')) t(a)")
+def random_titles(spark, sf_dir):
+    two = F.array(F.struct(F.concat(F.lit("A "), "p").alias("title")), F.struct(F.concat(F.lit('B "x" '), "p").alias("title")))
+    answer = F.to_json(F.struct(F.struct(two.alias("random")).alias("query")))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(cases.random_titles(answer)).alias("title"))
+
+
+# ---------------------------------------------------------------- constructs that the pages above lack
+
+
+@query("SELECT doc_id, concat('a ', p, ' z') AS text FROM BASE")
+def parse_media_links(spark, sf_dir):
+    """A media link goes with the links in its caption."""
+    made = _docs(spark, sf_dir).withColumn("text", F.concat(F.lit("a [[File:x.jpg|thumb|see [[b|c]] and [[d]] now]]"), "p", F.lit(" z[[image: y.png]]")))
+    return P.with_parsed(made, ("text",)).select("doc_id", "parsed.text")
+
+
+@query("SELECT doc_id, t.code, t.severity, t.ord FROM BASE, (VALUES (0, 'U-PRE', 'unsupported'), (1, 'U-TABLE', 'unsupported'), (2, 'U-LIST', 'unsupported'), (3, 'W-TEMPLATE', 'warning')) t(ord, code, severity)")
+def diagnostic_catalogue(spark, sf_dir):
+    """Preformatted text within prose, table lines without a table, an item after prose, a template."""
+    made = _docs(spark, sf_dir).withColumn("text", F.concat(F.lit("w "), "p", F.lit("\n pre\n\nw "), "p", F.lit("\n| cell\n\nw "), "p", F.lit("\n* item\n\nw {{t|"), "p", F.lit("}}")))
+    return P.diagnostics_of(P.with_parsed(made, ("diagnostics",)).select("doc_id", "parsed.diagnostics"), "doc_id").select("doc_id", "ord", "code", "severity")
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS has_table FROM BASE")
+def has_table(spark, sf_dir):
+    made = _docs(spark, sf_dir).withColumn("text", F.concat(F.lit("w "), "p", F.when(F.col("doc_id") % 2 == 0, F.lit("\n\n{|\n| x\n|}")).otherwise(F.lit("\n\nx | y"))))
+    return P.with_parsed(made, ("blocks",)).select("doc_id", P.has_table(F.col("parsed.blocks")).alias("has_table"))
+
+
+@query(r"SELECT doc_id, concat('w [x](<./c_(', n, ')>) \`t\`', E, E, '`````', E, 'a ```` ', n, E, '`````') AS markdown FROM BASE")
+def markdown_wrapped(spark, sf_dir):
+    """Addresses with brackets are wrapped, backticks escaped, and a fence is longer than what it holds."""
+    made = _docs(spark, sf_dir).withColumn("text", F.concat(F.lit("w [[c ("), "n", F.lit(")|x]] `t`\n\n a ```` "), "n"))
+    return P.with_parsed(made, ("markdown",)).select("doc_id", "parsed.markdown")
+
+
+@query("""SELECT doc_id, concat('[["para", [["run", "w ', p, CASE WHEN p = '' THEN '' ELSE ' ' END, 'x ", false, false], ["run", "b", true, false], ["link", "./Y_z", [["run", "l", false, false]]]]]]') AS normal FROM BASE""")
+def normal_form(spark, sf_dir):
+    made = _docs(spark, sf_dir).withColumn("text", F.concat(F.lit("w "), "p", F.lit("  x '''b'''[[Y z|l]]")))
+    return P.with_parsed(made, ("normal",)).select("doc_id", "parsed.normal")
+
+
+@query("SELECT 1 AS page, l.link, l.target, l.label, l.ext AS external, count(*) AS times FROM BASE, (VALUES (0, 'A', 'x y z', false), (1, 'http://e.example', 'y', true), (2, 'B', 'B', false)) l(link, target, label, ext) GROUP BY ALL")
+def link_graph_repeated_keys(spark, sf_dir):
+    """All pages have one key, and a link lies in the label of another."""
+    made = _docs(spark, sf_dir).select(F.lit(1).alias("page"), F.concat(F.lit("[[A|x [http://e.example y] z]] "), "p", F.lit(" '''[[B]]'''")).alias("text"))
+    links = P.links_of(P.with_parsed(made, ("links",)).select("page", "parsed.links"), "page")
+    return links.groupBy("page", "link", "target", "label", "external").agg(F.count("*").alias("times"))
+
+
+@query("SELECT doc_id, concat('Lead ', p) AS text, 2 AS level, 'H' AS heading FROM BASE")
+def sql_functions(spark, sf_dir):
+    from lexloom.functions import sql
+
+    sql.register(spark)
+    made = _docs(spark, sf_dir).withColumn("text", F.concat(F.lit("Lead "), "p", F.lit("\n\n== H ==\nx")))
+    both = made.select("doc_id", F.expr("wiki_parse(text)").alias("a"), F.expr("wiki_sections(text)").alias("s"))
+    return both.select("doc_id", F.expr("a.sections[0].text").alias("text"), F.expr("s[1].level").alias("level"), F.expr("s[1].heading").alias("heading"))
+
+
+# ---------------------------------------------------------------- coverage and differences, from pages to report
+
+
+@query(f"SELECT count(*) AS cases, {_K.format(0)} AS passing, 100.0 * {_K.format(0)} / count(*) AS passing_pct FROM BASE")
+def coverage(spark, sf_dir):
+    return P.coverage(_tiers(spark, sf_dir))
+
+
+_HISTOGRAM = " UNION ALL ".join(f"SELECT '{c}' AS code, '{s}' AS severity, {n} * count(*) FILTER (doc_id % 5 IN ({k})) AS occurrences, count(*) FILTER (doc_id % 5 IN ({k})) AS cases FROM BASE" for c, s, n, k in (("U-HTML", "unsupported", 2, "3"), ("U-TABLE", "unsupported", 1, "2, 3"), ("U-LIST", "unsupported", 1, "4"), ("W-TEMPLATE", "warning", 1, "1")))
+
+
+@query(_HISTOGRAM)
+def code_histogram(spark, sf_dir):
+    return P.code_histogram(_tiers(spark, sf_dir))
+
+
+@query("SELECT concat('case ', n) AS name, CASE WHEN doc_id % 5 = 1 THEN 'regressed' ELSE 'added' END AS change FROM BASE WHERE doc_id % 5 = 1 OR (doc_id % 5 = 0 AND doc_id % 3 = 0) GROUP BY ALL")
+def ratchet_of_cases(spark, sf_dir):
+    """Names that pass now against a baseline that has those with a warning and lacks a third of the clean ones."""
+    now = _tiers(spark, sf_dir).withColumn("name", F.concat(F.lit("case "), F.col("doc_id").cast("string")))
+    k = F.col("doc_id") % 5
+    baseline = now.where((k == 1) | ((k == 0) & (F.col("doc_id") % 3 != 0))).select("name").distinct()
+    return P.ratchet(baseline, P.passing(now))
+
+
+_THIRD = "count(*) FILTER (doc_id % 3 = {})"
+_SAME = f"({_THIRD.format(0)} + {_THIRD.format(2)})"
+
+
+@query(
+    "SELECT count(*) AS pages, "
+    + ", ".join(f"{_THIRD.format(k)} AS {b}_pages, 100.0 * {_THIRD.format(k)} / count(*) AS {b}_pct" for k, b in enumerate(("faithful", "divergent", "reported")))
+    + ", " + ", ".join(f"round({_SAME}::DOUBLE / count(*), 9) AS mean_{c}" for c in ("precision", "word_precision", "coverage")) + f", {_SAME} AS faithful_text, 0 AS empty_output FROM BASE"
+)
+def diff_report(spark, sf_dir):
+    """Pages and reference texts, through the parser to the report: a third agrees, a third does not, a third has a diagnostic."""
+    k = F.col("doc_id") % 3
+    wiki = F.concat(F.lit("Lead '''aa''' [[b|bb]] "), "p", F.when(k == 2, F.lit("\n\n** ")).otherwise(F.lit("")))
+    truth = F.when(k == 1, F.lit("0x1 0x2 0x3 0x4")).otherwise(F.concat(F.lit("lead aa bb "), "p"))
+    r = P.report(P.diff(_docs(spark, sf_dir).select("doc_id", wiki.alias("wikitext"), truth.alias("truth"))))
+    return r.withColumns({c: F.round(c, 9) for c in r.columns if c.startswith("mean_")})

@@ -176,6 +176,12 @@ def page_xml(title, namespace, redirect, text):
 
 def write_sample_dump(spark: SparkSession, path: str, text: str, copies: int, title: str = "Article") -> None:
     """A folder of dump files with ``copies`` pages of one article, each file well-formed."""
+    rows = spark.range(copies).select(F.concat(F.lit(title + " "), F.col("id").cast("string")).alias("title"), F.lit(0).alias("namespace"), F.lit(False).alias("redirect"), F.lit(text).alias("text"))
+    write_dump(rows, path)
+
+
+def write_dump(pages: DataFrame, path: str, compression: str = "none") -> None:
+    """A folder of dump files with ``pages`` (title, namespace, redirect, text), each file well-formed."""
 
     def wrap(batches):
         import pyarrow as pa
@@ -186,5 +192,39 @@ def write_sample_dump(spark: SparkSession, path: str, text: str, copies: int, ti
             yield pa.record_batch([b.column(0)], kind)
         yield pa.record_batch([["</mediawiki>"]], kind)
 
-    rows = spark.range(copies).select(page_xml(F.concat(F.lit(title + " "), F.col("id").cast("string")), F.lit(0), F.lit(False), F.lit(text)).alias("value"))
-    rows.mapInArrow(wrap, "value string").write.mode("overwrite").text(path)
+    rows = pages.select(page_xml(F.col("title"), F.col("namespace"), F.col("redirect"), F.col("text")).alias("value"))
+    rows.mapInArrow(wrap, "value string").write.mode("overwrite").option("compression", compression).text(path)
+
+
+def write_multistream(pages: DataFrame, dump_path: str, index_path: str, pages_a_stream: int = 100) -> None:
+    """A multistream ``.bz2`` dump and its index. Streams are compressed in tasks; the file is one, so the driver appends
+    them, a partition at a time."""
+
+    def compress(batches):
+        import pyarrow as pa
+
+        rows: list[tuple[str, str]] = []
+
+        def stream():
+            packed = bz2.compress("".join(x + "\n" for _, x in rows).encode("utf-8"))
+            return pa.record_batch([pa.array([packed], pa.binary()), pa.array([[t for t, _ in rows]], pa.list_(pa.string()))], names=["stream", "titles"])
+
+        for b in batches:
+            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows.append(row)
+                if len(rows) == pages_a_stream:
+                    yield stream()
+                    rows.clear()
+        if rows:
+            yield stream()
+
+    xml = pages.select("title", page_xml(F.col("title"), F.col("namespace"), F.col("redirect"), F.col("text")).alias("x"))
+    number = 0
+    with open(dump_path, "wb") as data, open(index_path, "w", encoding="utf-8") as index:
+        data.write(bz2.compress(b"<mediawiki>\n"))
+        for row in xml.mapInArrow(compress, "stream binary, titles array<string>").toLocalIterator():
+            for title in row.titles:
+                number += 1
+                index.write(f"{data.tell()}:{number}:{title}\n")
+            data.write(row.stream)
+        data.write(bz2.compress(b"</mediawiki>\n"))
