@@ -145,7 +145,16 @@ def residual_tally(spark, sf_dir):
     return P.residual_tally(_docs(spark, sf_dir).select(F.concat("p", F.lit(" "), F.get(marks, (F.col("doc_id") % 6).cast("int"))).alias("text")))
 
 
-@query()
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&eacute;": "é", "&ndash;": "–", "&#39;": "''", "&amp;": "&"}
+
+
+def _decoded(x: str) -> str:
+    for k, v in _ENTITIES.items():
+        x = f"replace({x}, '{k}', '{v}')"
+    return x
+
+
+@query("SELECT page_id, " + _decoded(r"""regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<([^>"''=]|=\s*"[^"]*"|=\s*''[^'']*''|=|"|'')*?>', '', 'gs')""") + " AS text FROM pages")
 def html_strip_tags(spark, sf_dir):
     pages = tables.read(spark, sf_dir, "pages")
     return pages.select("page_id", W.decode_entities(W.strip_tags(W.strip_comments_refs(F.coalesce("html", F.lit(""))))).alias("text"))
@@ -319,9 +328,10 @@ def agreement_pairs(spark, sf_dir):
     return _judged(spark, sf_dir).select("doc_id", "precision", "coverage", "word_precision", "faithful", "bucket")
 
 
-@query(_JUDGED + " SELECT count(*) AS pages, " + ", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}_pages, 100.0 * count(*) FILTER (bucket = '{b}') / count(*) AS {b}_pct" for b in ("faithful", "divergent", "reported")) + ", count(*) FILTER (faithful) AS faithful_text, (SELECT count(*) FROM documents WHERE trim(coalesce(text, '')) = '') AS empty_output FROM j")
+@query(_JUDGED + " SELECT count(*) AS pages, " + ", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}_pages, 100.0 * count(*) FILTER (bucket = '{b}') / count(*) AS {b}_pct" for b in ("faithful", "divergent", "reported")) + ', round(avg("precision"), 9) AS mean_precision, round(avg(word_precision), 9) AS mean_word_precision, round(avg(coverage), 9) AS mean_coverage' + ", count(*) FILTER (faithful) AS faithful_text, (SELECT count(*) FROM documents WHERE trim(coalesce(text, '')) = '') AS empty_output FROM j")
 def bucket_report(spark, sf_dir):
-    return P.report(_judged(spark, sf_dir)).drop("mean_precision", "mean_word_precision", "mean_coverage")  # order of addition decides the last digits of the means
+    r = P.report(_judged(spark, sf_dir))
+    return r.withColumns({c: F.round(c, 9) for c in r.columns if c.startswith("mean_")})  # the order of addition decides the last digits
 
 
 @query(_JUDGED + ' SELECT doc_id, "precision", bucket FROM j ORDER BY "precision", doc_id LIMIT 10')
@@ -342,7 +352,7 @@ def parser_cases(spark, sf_dir):
     return cases.cases_of(_docs(spark, sf_dir).select(made.alias("value")))
 
 
-@query()
+@query("SELECT title FROM (SELECT DISTINCT concat('Doc ', n) AS title FROM BASE ORDER BY md5(concat('0 ', title)), title LIMIT 20)")
 def title_sample(spark, sf_dir):
     return cases.sample_titles(_pages(spark, sf_dir), 20)
 

@@ -91,8 +91,8 @@ def random_titles(json: Column) -> Column:
 
 
 def sample_titles(titles: DataFrame, n: int, seed: int = 0, column: str = "title") -> DataFrame:
-    """n distinct titles by a hash of the seed, in order of the alphabet: a top-n, not a sort of all."""
-    key = F.xxhash64(F.lit(seed), F.col(column))
+    """n distinct titles by a hash with the seed, in order of the alphabet: a top-n, not a sort of all."""
+    key = F.md5(F.concat(F.lit(f"{seed} "), F.col(column)))
     return titles.select(column).distinct().orderBy(key, column).limit(n).orderBy(column)
 
 
