@@ -1,8 +1,7 @@
 """Shared pieces of the training-data operators.
 
-Two things live here: cutting lineage through tables in the cluster's shared
-folder, and numpy kernels that turn an Arrow string column into word and
-shingle hashes without creating a Python object per word.
+Numpy kernels that turn an Arrow string column into word and shingle hashes without creating a
+Python object per word, and what the operators do with rows and ids. Lineage is cut by :mod:`lexloom.sources.scratch`.
 
 Words are maximal runs of ASCII letters, ASCII digits and non-ASCII characters of
 the lower-cased UTF-8 text; everything else separates, and so do non-ASCII spaces and
@@ -12,11 +11,7 @@ Burmese and the like) each character, with the combining marks after it, is a wo
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import unicodedata
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,36 +19,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources import tables
+from lexloom.sources.scratch import discard, materialize  # noqa: F401
+
 #: Rows of ids (8 bytes each) up to which a set of ids is broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text that one pass of the numpy kernels takes (a longer document is a pass of its own).
 CHUNK_BYTES = 1 << 19
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="lexloom-")
-        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
-    return _LOCAL_DIRS[app]
-
-
-def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later jobs start from files that
-    outlive any executor, and nothing upstream is computed twice."""
-    path = f"{shared_dir(spark)}/lexloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return tables.read(spark, sf_dir, table)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

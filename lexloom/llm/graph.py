@@ -1,24 +1,28 @@
 """Connected components of an edge table, by alternating large-star and small-star steps
-(Kiveris et al. 2014). Every step is one shuffle and is written to the shared folder."""
+(Kiveris et al. 2014). Every step is written to the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import materialize
+from lexloom.llm._common import discard, materialize
+
+
+def _with_least(e: DataFrame) -> DataFrame:
+    """``e`` plus m, the least v of each u: aggregated before it is shuffled, then joined, which can split a u with many
+    edges over tasks as no window could."""
+    return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
-    return low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    low = e.withColumn("m", F.min("v").over(Window.partitionBy("u")))
     pair = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-    return low.select(pair.alias("p")).select("p.u", "p.v").where("u <> v").distinct()
+    return _with_least(e).select(pair.alias("p")).select("p.u", "p.v").where("u <> v").distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -32,4 +36,5 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if now == state:
             return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
         state = now
-        e = materialize(spark, _small_star(_large_star(e)))
+        before, e = e, materialize(spark, _small_star(_large_star(e)))
+        discard(before)

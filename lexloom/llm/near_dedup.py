@@ -8,7 +8,7 @@ Registers of two sets merge by maximum and agree more often the more the sets ov
 1. Documents with the same shingle set collapse by a 128-bit set hash.
 2. Bands of registers are bucketed. No bucket is capped, and none sends all its pairs on: within it the
    maximum spanning forest by equal registers is kept, and pairs that step 3 keeps between its trees. A
-   bucket too large for one task is cut into blocks, and every pair of blocks is a task.
+   bucket too large for one task is never gathered: see ``_hot_buckets``.
 3. The Jaccard similarity of each edge is estimated jointly from all registers and both set sizes by
    maximum likelihood; edges clearly below the threshold are dropped.
 4. The others are verified on the whole shingle sets; verified edges are joined into groups.
@@ -36,8 +36,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SLACK = 0.14
 #: Documents of a bucket that one task compares.
 BLOCK = 4096
-#: Documents, with their shingle sets, of a block of a tree that is verified pair by pair.
-SET_BLOCK = 256
+#: Documents, with their shingle sets, of a block of a tree that is verified pair by pair; of a side of a rectangle.
+SET_BLOCK, RECTANGLE = 256, 1024
 _SALT = 0x5E75
 
 
@@ -265,62 +265,137 @@ def _verify_batches(threshold: float):
     return run
 
 
-def near_edges(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified edges (u, v, j), v < u, that span the near-duplicate groups; j is the exact Jaccard
-    similarity of the two shingle sets."""
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, s): the shingle set of one text of each of ``ids``."""
+    wanted = c.by_ids(c.id_text(docs).where("doc_id is not null"), ids, "left_semi")
+    return wanted.mapInArrow(_shingle_batches, "doc_id bigint, s array<bigint>").dropDuplicates(["doc_id"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, j) of the pairs whose exact similarity is at least ``threshold``."""
+    a = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("sa"))
+    b = sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sb"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "sa", "sb").mapInArrow(_verify_batches(threshold), "u bigint, v bigint, j double")
+
+
+def _part(n: str, size: int):
+    """The part of ``size`` or so of a bucket of n that a document is in, by its hash."""
+    return F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / size)).cast("int")
+
+
+def _parts(n: str, size: int):
+    return F.sequence(F.lit(0), F.ceil(F.col(n) / size).cast("int") - 1)
+
+
+def _hot_buckets(spark: SparkSession, docs: DataFrame, rows: DataFrame, regs: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Edges of buckets (key, doc_id) of more than ``block`` documents: verified ones (u, v, j), and (tree, u, v) to verify.
+
+    All members are compared with the bucket's least document. Those that are similar to it are joined; the
+    others, if not over ``block``, are compared exactly with all members, in rectangles. So a bucket of true near-copies costs in
+    proportion to its size. Where more than ``block`` are unlike the least document, all pairs of blocks are compared by
+    registers. No bucket is ever gathered in a row or a task.
+    """
+    ids = F.bit_xor(F.xxhash64("doc_id"))
+    # a group of copies fills the same bucket in most bands: each set of documents is treated once
+    once = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), ids.alias("x")).groupBy("n", "rep", "x").agg(F.min("key").alias("key"))
+    members = c.materialize(spark, rows.join(once.select("key", "n", "rep"), "key"))
+    sets = c.materialize(spark, _sets(docs, members.select("doc_id").distinct()))
+    star = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    star = c.materialize(spark, _verified(star, sets, 0.0))
+    judged = members.join(star, (members["doc_id"] == star["u"]) & (members["rep"] == star["v"]), "left").select("key", "n", "rep", "doc_id", (F.coalesce("j", F.lit(1.0)) < threshold).alias("far"))
+    judged = c.materialize(spark, judged)
+    unlike = judged.where("far").groupBy("key").agg(F.count("*").alias("m"))
+    few = judged.join(c.materialize(spark, unlike.where(F.col("m") <= block)), "key")
+    mine = few.where("far").select("key", _part("m", RECTANGLE).alias("i"), F.explode(_parts("n", RECTANGLE)).alias("k"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("root"))
+    theirs = few.select("key", F.explode(_parts("m", RECTANGLE)).alias("i"), _part("n", RECTANGLE).alias("k"), F.lit(1).alias("side"), "doc_id", F.when(F.col("far"), F.col("doc_id")).otherwise(F.col("rep")).alias("root"))
+    cells = mine.union(theirs).join(sets, "doc_id").groupBy("key", "i", "k").agg(F.sort_array(F.collect_list(F.struct("side", "doc_id", "root", "s"))).alias("members"))
+    near = cells.select("members").mapInArrow(_rest_batches(threshold), "u bigint, v bigint, j double")
+    verified = c.materialize(spark, star.where(F.col("j") >= threshold).union(near))
+    many = members.join(unlike.where(F.col("m") > block).select("key"), "key", "left_semi").withColumn("at", _part("n", block // 2))
+    pair = F.explode(F.transform(_parts("n", block // 2), lambda x: F.struct(F.least("at", x).alias("i"), F.greatest("at", x).alias("k")))).alias("cell")
+    grouped = many.select("key", "doc_id", pair).join(regs, "doc_id").groupBy("key", "cell").agg(F.collect_list(F.struct("doc_id", "n", "regs")).alias("members")).where("size(members) > 1")
+    edges = grouped.select(F.xxhash64("key", "cell").alias("cell"), "members").mapInArrow(_bucket_batches(threshold), "tree bigint, u bigint, v bigint")
+    return verified, edges
+
+
+def _edges(spark: SparkSession, docs: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with the shingle set of a smaller id, (u, v); verified edges (u, v, j) among those smallest ids."""
     sk = c.materialize(spark, sketches(docs))
     # one sketch per shingle set, held by its smallest id; an id that occurs in several rows counts as one document
     reps = sk.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"))
-    same = sk.join(reps.withColumnRenamed("doc_id", "v"), ["s1", "s2", "n"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v", F.lit(1.0).alias("j"))
+    same = c.materialize(spark, sk.join(reps.withColumnRenamed("doc_id", "v"), ["s1", "s2", "n"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
     regs = c.materialize(spark, sk.join(reps, ["s1", "s2", "n", "doc_id"], "left_semi").dropDuplicates(["s1", "s2", "n"]).select("doc_id", "n", "regs"))
+    c.discard(sk)
     rows = regs.select("doc_id", "regs").mapInArrow(_band_batches, "key bigint, doc_id bigint")
-    full = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
+    hot = c.materialize(spark, rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > block).select("key"))
+    n_hot = hot.count()
+    cold = c.by_ids(rows, hot, "left_anti", n_hot, "key") if n_hot else rows
+    full = cold.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
     buckets = full.groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).where("size(ids) > 1")
     # a group of copies fills the same bucket in most bands: each set of documents is compared once
     buckets = buckets.select("ids").distinct().withColumn("b", F.xxhash64("ids"))
-    members = _blocks(buckets, BLOCK)
-    grouped = members.join(regs, "doc_id").groupBy("b", "i", "j").agg(F.collect_list(F.struct("doc_id", "n", "regs")).alias("members")).where("size(members) > 1")
-    edges = c.materialize(spark, grouped.select(F.xxhash64("b", "i", "j").alias("cell"), "members").mapInArrow(_bucket_batches(threshold), "tree bigint, u bigint, v bigint"))
+    grouped = buckets.select("b", F.explode("ids").alias("doc_id")).join(regs, "doc_id").groupBy("b").agg(F.collect_list(F.struct("doc_id", "n", "regs")).alias("members")).where("size(members) > 1")
+    edges = grouped.select(F.col("b").alias("cell"), "members").mapInArrow(_bucket_batches(threshold), "tree bigint, u bigint, v bigint")
+    known = None
+    if n_hot:
+        known, more = _hot_buckets(spark, docs, c.materialize(spark, c.by_ids(rows, hot, "left_semi", n_hot, "key")), regs, threshold, block)
+        edges = edges.union(more)
+    edges = c.materialize(spark, edges)
     cand = c.materialize(spark, edges.select("u", "v").distinct())
     ids = c.materialize(spark, cand.select(F.col("u").alias("i")).union(cand.select("v")).distinct())
-    wanted = c.by_ids(c.id_text(docs).where("doc_id is not null"), ids, "left_semi")
-    sets = wanted.mapInArrow(_shingle_batches, "doc_id bigint, s array<bigint>")
-    sets = c.materialize(spark, sets.dropDuplicates(["doc_id"]))
-    a = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sb"))
-    verified = cand.join(a, "u").join(b, "v").select("u", "v", "sa", "sb").mapInArrow(_verify_batches(threshold), "u bigint, v bigint, j double")
-    verified = c.materialize(spark, verified)
+    sets = c.materialize(spark, _sets(docs, ids))
+    verified = c.materialize(spark, _verified(cand, sets, threshold))
     # trees with an edge that failed: what verified edges do not join is compared pair by pair
     failed = cand.join(verified, ["u", "v"], "left_anti")
     open_trees = edges.join(failed, ["u", "v"], "left_semi").select("tree").distinct()
     left = edges.join(open_trees, "tree", "left_semi")
     left = left.select("tree", F.explode(F.array("u", "v")).alias("doc_id")).groupBy("tree").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
     left = c.materialize(spark, left.where("size(ids) > 2").select("ids").distinct().withColumn("b", F.xxhash64("ids")))
+    found = verified if known is None else verified.union(known)
     if left.isEmpty():
-        return same.union(verified)
-    comp = components(spark, verified.select("u", "v"))
+        return same, found
+    comp = components(spark, found.select("u", "v"))
     rooted = sets.join(comp, sets["doc_id"] == comp["id"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"), "s")
     rest = _blocks(left, SET_BLOCK).join(rooted, "doc_id").groupBy("b", "i", "j").agg(F.collect_list(F.struct("doc_id", "root", "s")).alias("members"))
     rest = rest.where("size(array_distinct(members.root)) > 1").select("members").mapInArrow(_rest_batches(threshold), "u bigint, v bigint, j double")
-    return same.union(verified).union(c.materialize(spark, rest))
+    return same, found.union(c.materialize(spark, rest))
+
 
+def near_edges(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Verified edges (u, v, j), v < u, that span the near-duplicate groups; j is the exact Jaccard
+    similarity of the two shingle sets. Documents as in :func:`near_groups`."""
+    same, edges = _edges(spark, docs, threshold, block)
+    return same.withColumn("j", F.lit(1.0)).union(edges)
+
+
+def _roots(spark: SparkSession, docs: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(id, root) of every document that is not the smallest of its group. Copies follow what they are a copy of; only
+    documents of different shingle sets take part in the search for components."""
+    same, edges = _edges(spark, docs, threshold, block)
+    comp = components(spark, edges.select("u", "v"))
+    copies = same.join(comp, same["v"] == comp["id"], "left").select(F.col("u").alias("id"), F.coalesce("root", "v").alias("root"))
+    # the smallest id of a shingle set is smaller than its copies, so a root stays the smallest of its group
+    return c.materialize(spark, comp.union(copies).groupBy("id").agg(F.min("root").alias("root")))
 
-def near_groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+
+def near_groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, group_id, group_size, kept): every document of a near-duplicate group of two or more.
     group_id is the smallest doc_id of the group, which is the one kept.
 
     Groups are the components of verified pairs. NULL or wordless texts and NULL ids are in no
-    group; rows that repeat a doc_id are one document (of which any text may be verified); equal
-    texts tie for the smallest id; an empty table gives no rows; other columns are ignored.
+    group; long texts are read whole; rows that repeat a doc_id are one document (of which any text may be verified); equal
+    texts tie for the smallest id; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    comp = c.materialize(spark, components(spark, near_edges(spark, docs, threshold).select("u", "v")))
+    comp = _roots(spark, docs, threshold, block)
     sizes = comp.groupBy("root").agg((F.count("*") + 1).alias("group_size"))
     members = comp.select(F.col("id").alias("doc_id"), "root").union(comp.select(F.col("root").alias("doc_id"), "root").distinct())
     return members.join(sizes, "root").select("doc_id", F.col("root").alias("group_id"), "group_size", (F.col("doc_id") == F.col("root")).alias("kept"))
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents whose group keeps another one; rows of one doc_id share their fate,
-    rows with a NULL doc_id stay."""
-    gone = c.materialize(spark, components(spark, near_edges(spark, docs, threshold).select("u", "v")).select("id"))
-    return c.by_ids(docs, gone, "left_anti")
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """``docs``, with every column whatever its name, without the documents whose group, as in :func:`near_groups`, keeps another one.
+
+    Rows of one doc_id share their fate; rows with a NULL doc_id and NULL, empty and wordless texts stay; long texts are read
+    whole; of equal texts the smallest doc_id stays; an empty table gives no rows.
+    """
+    return c.by_ids(docs, _roots(spark, docs, threshold, block).select("id"), "left_anti")

@@ -96,6 +96,26 @@ def test_near_dedup_template_family(spark):
     assert got == {d: d - d % 2 for d in range(60)}
 
 
+@pytest.mark.parametrize("block", [8, 40])
+def test_near_dedup_hot_buckets(spark, docs, texts, block):
+    """Buckets over the bound, with few and with many documents unlike the least one, give the groups that gathered ones give."""
+    got = {r.doc_id: r.group_id for r in near_dedup.near_groups(spark, docs, block=block).collect()}
+    assert got == {r.doc_id: r.group_id for r in near_dedup.near_groups(spark, docs).collect()}
+    rng = np.random.default_rng(2)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    base, rows = own(200), []
+    for i in range(120):  # copies of one text, each with a few words changed
+        rows.append((i, " ".join(w if rng.random() > 0.03 else f"x{rng.integers(1 << 40)}" for w in base)))
+    far = own(60)
+    for i in range(120, 126):  # unlike most of those, like each other and in part like the text
+        rows.append((i, " ".join(base[:130] + far + own(5))))
+    rows += [(200 + i, t) for i, (_, t) in enumerate(rows[:30])] + [(300 + i, " ".join(own(50))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute_groups(dict(rows), near_dedup.THRESHOLD)
+    got = {r.doc_id: r.group_id for r in near_dedup.near_groups(spark, df, block=block).collect()}
+    assert got == {d: g for d, g in want.items() if sum(x == g for x in want.values()) > 1}
+
+
 def test_setsketch_estimates_and_merges():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
