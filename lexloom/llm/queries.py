@@ -60,6 +60,16 @@ QUERIES = {f.__name__: f for f in _ALL}
 #: Words of a text: what stands between separators. The test tables have no text in a script without spaces.
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '([\x00-\x2F\x3A-\x60\x7B-\x7F\x{85}]|\p{P}|\p{Z})+'), lambda x: x <> '')"
 ORACLE_SQL: dict[str, str] = {
+    # every pair of documents that share a shingle, without sketches; components by reachability
+    "op2_minhash_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        p AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c.c / (a.n + b.n - c.c) >= {near_dedup.THRESHOLD}),
+        r AS (SELECT DISTINCT x AS id, x AS m FROM p UNION SELECT p.y, r.m FROM r JOIN p ON p.x = r.id),
+        g AS (SELECT id AS doc_id, min(m) AS group_id FROM r GROUP BY id)
+        SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, doc_id = group_id AS kept FROM g""",
     # every item against every document by exact containment, without sketches
     "op8_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
