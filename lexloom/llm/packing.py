@@ -93,56 +93,102 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return runs, windows
 
 
-def _count_batches(tokenizer: str | None):
-    """Tokens of each text: runs of non-space characters, or ids of a byte-pair vocabulary file."""
+def _tokens(column: pa.Array):
+    """Byte data, and for each range (i, j) of rows of a pass: first byte, starts and ends of tokens, offsets of rows into them.
+    Tokens are runs of non-space characters."""
+    data, offsets = c.utf8(column, lower=False)
+    for i, j in c.chunks(offsets):
+        a, b = int(offsets[i]), int(offsets[j])
+        solid = np.zeros(b - a + 2, bool)
+        solid[1:-1] = ~_SPACE[data[a:b]]
+        edge = np.zeros(b - a + 1, bool)
+        edge[offsets[i : j + 1] - a] = True
+        here, before = solid[1:], solid[:-1]
+        start, end = np.flatnonzero(here & (~before | edge)), np.flatnonzero(before & (~here | edge))
+        yield i, j, data[a:b], start, end, np.searchsorted(start, offsets[i : j + 1] - a)
 
-    def words(batches):
+
+def _encoding(vocabulary: bytes):
+    """The encoder of a byte-pair vocabulary file."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _count_batches(vocabulary):
+    """(doc_id, h, n): tokens of each text."""
+
+    def run(batches):
+        enc = _encoding(vocabulary.value) if vocabulary else None
         for batch in batches:
-            data, offsets = c.utf8(batch.column("text"), lower=False)
             n = np.zeros(len(batch), np.int64)
-            for i, j in c.chunks(offsets):
-                a, b = int(offsets[i]), int(offsets[j])
-                solid = ~_SPACE[data[a:b]]
-                start = solid.copy()
-                start[1:] &= ~solid[:-1]
-                at = offsets[i:j] - a
-                here = at[at < len(solid)]
-                start[here] = solid[here]
-                total = np.concatenate([[0], np.cumsum(start)])
-                n[i:j] = np.diff(total[offsets[i : j + 1] - a])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n)], ["doc_id", "n"])
-
-    def ids(batches):
-        import base64
-
-        import tiktoken
+            if enc:
+                n[:] = [len(enc.encode_ordinary(t or "")) for t in batch.column("text").to_pylist()]
+            else:
+                for i, j, _, _, _, at in _tokens(batch.column("text")):
+                    n[i:j] = np.diff(at)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n)], ["doc_id", "h", "n"])
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return run
+
+
+def _content_batches(vocabulary, capacity: int):
+    """(doc_id, h, piece, content): the text, or the ids of tokens, of each piece."""
+
+    def run(batches):
+        enc = _encoding(vocabulary.value) if vocabulary else None
         for batch in batches:
-            n = [len(enc.encode_ordinary(t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n"])
+            row, piece, content = [], [], []
+            if enc:
+                for r, t in enumerate(batch.column("text").to_pylist()):
+                    ids = enc.encode_ordinary(t or "")
+                    for k in range(0, len(ids), capacity):
+                        row.append(r)
+                        piece.append(k // capacity)
+                        content.append(ids[k : k + capacity])
+            else:
+                for i, j, data, start, end, at in _tokens(batch.column("text")):
+                    raw = data.tobytes()
+                    for r in range(i, j):
+                        first, last = at[r - i], at[r - i + 1]
+                        for k in range(first, last, capacity):
+                            row.append(r)
+                            piece.append((k - first) // capacity)
+                            content.append(raw[start[k] : end[min(k + capacity, last) - 1]].decode("utf-8"))
+            take = pa.array(row, pa.int64())
+            kind = pa.list_(pa.int32()) if enc else pa.string()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(piece, pa.int64()), pa.array(content, kind)], ["doc_id", "h", "piece", "content"])
 
-    return ids if tokenizer else words
+    return run
 
 
 def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(window_id, n_tokens, n_pieces, doc_ids, pieces): every window, with the documents in it and
-    the pieces [(doc_id, piece, start, length)], in tokens of the document, longest first.
-
-    Tokens are runs of non-space characters, or those of the vocabulary file ``tokenizer``. Texts without
-    tokens and NULL texts are in no window; a NULL doc_id is packed as NULL; every row is packed, also
-    one that repeats another; equal lengths go by bucket and doc_id. An empty table gives no windows.
+    the pieces [(doc_id, piece, start, length, text)], in tokens of the document, longest first.
+
+    Tokens are runs of non-space characters, and a piece's text is what stands from its first to its last one; with a
+    byte-pair vocabulary file ``tokenizer``, which the driver reads, they are its tokens, and a piece has their ids as
+    ``tokens`` instead of a text. Texts without tokens and NULL texts are in no window; long texts are cut into full
+    windows and a rest, nothing is lost; a NULL doc_id is packed as NULL; every row is packed, also one that repeats
+    another; equal lengths go by bucket and doc_id. An empty table gives no windows; other columns,
+    whatever their names, are ignored.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    lengths = c.id_text(docs).mapInArrow(_count_batches(tokenizer), "doc_id bigint, n bigint").where("n > 0")
+    vocabulary = None
+    if tokenizer:
+        with open(tokenizer, "rb") as f:
+            vocabulary = spark.sparkContext.broadcast(f.read())
+    texts = c.id_text(docs).withColumn("h", F.xxhash64("text"))
+    lengths = texts.mapInArrow(_count_batches(vocabulary), "doc_id bigint, h bigint, n bigint").where("n > 0")
     piece = F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("bigint"))).alias("piece")
     start = F.col("piece") * capacity
-    pieces = lengths.select("doc_id", "n", piece).select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("n") - start).cast("bigint").alias("length"))
-    pieces = c.materialize(spark, pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")))
+    pieces = lengths.select("doc_id", "h", "n", piece).select("doc_id", "h", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("n") - start).cast("bigint").alias("length"))
+    pieces = c.materialize(spark, pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h", "piece"), F.lit(buckets)).cast("int")))
     hist = pieces.groupBy("length", "bucket").count().collect()  # at most capacity x buckets rows
     counts: dict[int, int] = {}
     offset: dict[tuple[int, int], int] = {}
@@ -169,12 +215,17 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, tokeniz
             at = shift[length, bucket] + rank - 1
             run = np.searchsorted(begin, at, "right") - 1
             window = first[run] + (at - begin[run]) // per[run]
-            yield pa.RecordBatch.from_arrays([pa.array(window), *(batch.column(x) for x in ("doc_id", "piece", "start", "length"))], ["window_id", "doc_id", "piece", "start", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array(window), *(batch.column(x) for x in ("doc_id", "h", "piece", "start", "length"))], ["window_id", "doc_id", "h", "piece", "start", "length"])
 
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "h", "piece")
     ranked = pieces.withColumn("rank", F.row_number().over(order).cast("bigint"))
-    placed = ranked.mapInArrow(place, "window_id bigint, doc_id bigint, piece bigint, start bigint, length bigint")
-    item = F.struct((-F.col("length")).alias("o"), "doc_id", "piece", "start", "length")
-    packed = placed.groupBy("window_id").agg(F.sum("length").alias("n_tokens"), F.count("*").alias("n_pieces"), F.sort_array(F.collect_list(item)).alias("p"))
-    inner = F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["piece"].alias("piece"), x["start"].alias("start"), x["length"].alias("length")))
+    placed = ranked.mapInArrow(place, "window_id bigint, doc_id bigint, h bigint, piece bigint, start bigint, length bigint")
+    # a piece's content is found by a hash of document and piece and one of the text; rows that repeat share it
+    name, kind = ("tokens", "array<int>") if vocabulary else ("text", "string")
+    content = texts.mapInArrow(_content_batches(vocabulary, capacity), f"doc_id bigint, h bigint, piece bigint, content {kind}")
+    content = content.select(F.xxhash64("doc_id", "piece").alias("__k"), F.col("h").alias("__h"), "content").dropDuplicates(["__k", "__h"])
+    full = placed.withColumn("k", F.xxhash64("doc_id", "piece")).join(content, (F.col("k") == F.col("__k")) & (F.col("h") == F.col("__h")))
+    item = F.struct((-F.col("length")).alias("o"), "doc_id", "piece", "start", "length", F.col("content").alias(name))
+    packed = full.groupBy("window_id").agg(F.sum("length").alias("n_tokens"), F.count("*").alias("n_pieces"), F.sort_array(F.collect_list(item)).alias("p"))
+    inner = F.transform("p", lambda x: F.struct(*(x[f].alias(f) for f in ("doc_id", "piece", "start", "length", name))))
     return packed.select("window_id", "n_tokens", "n_pieces", F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), inner.alias("pieces"))

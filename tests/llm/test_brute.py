@@ -1,5 +1,6 @@
 """The operators against brute force on whole small tables, held-out accuracy and exact round trips."""
 
+import os
 import re
 from collections import defaultdict
 
@@ -283,11 +284,36 @@ def test_packing(spark, docs, texts):
             assert start == at
             at += length
         assert at == size
+    for w in got:
+        for p in w.pieces:
+            assert p.text.split() == re.findall(r"[^ \t\n\r\f\v]+", texts[p.doc_id])[p.start : p.start + p.length] and p.text in texts[p.doc_id]
     lengths = [x for size in n.values() for x in [cap] * (size // cap) + [size % cap] if x]
     assert sorted(cap - w.n_tokens for w in got) == slow_best_fit(lengths, cap)
     assert len({w.window_id for w in got}) == len(got)
 
 
+def test_packing_of_a_vocabulary(spark):
+    """Pieces carry the ids of their tokens, and all ids of a document together decode to its text."""
+    import tiktoken
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary file")
+    rows = [(1, "the cat sat on the mat " * 40), (2, "naïve café ☕ 漢字"), (None, "one more"), (3, ""), (4, None), (2, "naïve café ☕ 漢字"), (2, "another text of two")]
+    got = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), capacity=50, tokenizer=path).collect()
+    with open(path, "rb") as f:
+        enc = packing._encoding(f.read())
+    assert isinstance(enc, tiktoken.Encoding) and all(w.n_tokens == sum(len(p.tokens) for p in w.pieces) <= 50 for w in got)
+    cut = defaultdict(dict)
+    for w in got:
+        for p in w.pieces:
+            assert len(p.tokens) == p.length and p.start == 50 * p.piece
+            cut[p.doc_id].setdefault(p.start, []).append(p.tokens)
+    whole = enc.decode([t for s in sorted(cut[1]) for t in cut[1][s][0]])
+    assert whole == rows[0][1] and enc.decode(cut[None][0][0]) == "one more"
+    assert sorted(enc.decode(t) for t in cut[2][0]) == sorted([rows[1][1], rows[1][1], rows[6][1]])
+
+
 def test_language(spark, docs):
     rows = [(r.language, r.lang) for r in language_id.identify(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").collect()]
     assert np.mean([a == b for a, b in rows]) > 0.97
