@@ -114,6 +114,17 @@ def _mark_batches(block: int):
     return run
 
 
+def _shared_windows(x: c.Words, marks: pa.Array, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words, and rows, of the windows whose mark is among the marks that their own row shares."""
+    at, row = _block_rows(x, block)
+    if not len(at):
+        return at, row
+    salt = c.mix(np.arange(1, len(marks) + 1, dtype=np.uint64))  # a mark counts for its own document
+    theirs = np.repeat(salt, pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))
+    ok = np.isin(_marks(x.hash, block)[at] ^ salt[row], marks.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ theirs)
+    return at[ok], row[ok]
+
+
 def _block_batches(block: int):
     def run(batches):
         for batch in batches:
@@ -121,40 +132,71 @@ def _block_batches(block: int):
             data, offsets = c.utf8(batch.column("text"), lower=False)
             for i, j in c.chunks(offsets):
                 x = Lines(data, offsets[i : j + 1])
-                at, row = _block_rows(x, block)
-                if not len(at):
-                    continue
-                shared = batch.column("marks").slice(i, j - i)
-                salt = c.mix(np.arange(1, j - i + 1, dtype=np.uint64))  # a mark counts for its own document
-                theirs = np.repeat(salt, pc.fill_null(pc.list_value_length(shared), 0).to_numpy(zero_copy_only=False))
-                ok = np.isin(_marks(x.hash, block)[at] ^ salt[row], shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ theirs)
-                yield _distinct(_grams(x.hash, block)[at[ok]], ids[i:j][row[ok]], "block")
+                at, row = _shared_windows(x, batch.column("marks").slice(i, j - i), block)
+                if len(at):
+                    yield _distinct(_grams(x.hash, block)[at], ids[i:j][row], "block")
 
     return run
 
 
-def overlapping_pairs(spark: SparkSession, docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
-    """(u, v): a document u and an earlier one v that is the first holder of a block of ``min_block`` of its words."""
+def _shared_marks(spark: SparkSession, docs: DataFrame, block: int) -> DataFrame:
+    """(doc_id, marks): the marks of each document that another one has too."""
+    marks = c.id_text(docs).where("doc_id is not null").mapInArrow(_mark_batches(block), "mark bigint, doc_id bigint")
+    # first and last holder are aggregated before they are shuffled; a mark that a third of all documents has is no task's own
+    held = marks.groupBy("mark").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("v < last").select(F.col("mark").alias("__lx_m"))
+    shared = marks.join(held, F.col("mark") == F.col("__lx_m"), "left_semi")
+    return c.materialize(spark, shared.groupBy(F.col("doc_id").alias("__lx_u")).agg(F.collect_set("mark").alias("marks")))
+
+
+def _with_marks(docs: DataFrame, shared: DataFrame) -> DataFrame:
     texts = c.id_text(docs).where("doc_id is not null")
-    marks = texts.mapInArrow(_mark_batches(min_block), "mark bigint, doc_id bigint")
-    one = Window.partitionBy("mark")
-    shared = marks.select("doc_id", "mark", F.min("doc_id").over(one).alias("v"), F.max("doc_id").over(one).alias("last")).where("v < last")
-    shared = c.materialize(spark, shared.groupBy(F.col("doc_id").alias("__lx_u")).agg(F.collect_set("mark").alias("marks")))
-    held = texts.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("__lx_u")).select("doc_id", "text", "marks")
-    blocks = held.mapInArrow(_block_batches(min_block), "block bigint, doc_id bigint")
+    return texts.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("__lx_u")).select("doc_id", "text", "marks")
+
+
+def overlapping_pairs(spark: SparkSession, docs: DataFrame, min_block: int = MIN_BLOCK, shared: DataFrame | None = None) -> DataFrame:
+    """(u, v): a document u and an earlier one v that is the first holder of a block of ``min_block`` of its words."""
+    shared = _shared_marks(spark, docs, min_block) if shared is None else shared
+    blocks = _with_marks(docs, shared).mapInArrow(_block_batches(min_block), "block bigint, doc_id bigint")
     return blocks.select(F.col("doc_id").alias("u"), F.min("doc_id").over(Window.partitionBy("block")).alias("v")).where("v < u").distinct()
 
 
-def _words_batches(batches):
-    for batch in batches:
-        data, offsets = c.utf8(batch.column("text"), lower=False)
-        for i, j in c.chunks(offsets):
-            x = Lines(data, offsets[i : j + 1])
-            first = (x.first - np.repeat(x.at[:-1], np.diff(x.line_at))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), c.lists(_low(x.line), x.line_at, pa.int32()), c.lists(first, x.line_at, pa.int32()), c.lists(_low(x.hash), x.at, pa.int32())],
-                ["v", "lines", "firsts", "words"],
-            )
+#: Stands between two parts of a document.
+_GAP = np.int32(-(2**31))
+
+
+def _words_batches(block: int):
+    """Lines, their first words, and words of each document, of its parts that can lie in a shared block only: what is sent
+    to every document that shares a paragraph with a long one is the paragraph."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = c.utf8(batch.column("text"), lower=False)
+            for i, j in c.chunks(offsets):
+                x = Lines(data, offsets[i : j + 1])
+                at, _ = _shared_windows(x, batch.column("marks").slice(i, j - i), block)
+                n = len(x.hash)
+                edge = np.zeros(n + 1, np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + block, -1)
+                keep = np.cumsum(edge[:n]) > 0
+                begins = keep.copy()
+                begins[1:] &= ~keep[:-1]
+                heads = x.at[:-1][np.diff(x.at) > 0]
+                begins[heads] = keep[heads]
+                kept, parts = np.concatenate([[0], np.cumsum(keep)]), np.concatenate([[0], np.cumsum(begins)])
+                words = np.full(kept[-1] + parts[-1], _GAP, np.int32)
+                place = kept[:-1] + parts[1:]  # a gap before each part
+                words[place[keep]] = _low(x.hash)[keep]
+                word_at = kept[x.at] + parts[x.at]
+                whole = kept[x.first + x.size] - kept[x.first] == x.size
+                line_at = np.concatenate([[0], np.cumsum(whole)])[x.line_at]
+                first = place[x.first[whole]] - np.repeat(word_at[:-1], np.diff(line_at))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), c.lists(_low(x.line)[whole], line_at, pa.int32()), c.lists(first.astype(np.int32), line_at, pa.int32()), c.lists(words, word_at, pa.int32())],
+                    ["v", "lines", "firsts", "words"],
+                )
+
+    return run
 
 
 def _low(h: np.ndarray) -> np.ndarray:
@@ -282,17 +324,20 @@ def _without(raw: bytes, start: np.ndarray, end: np.ndarray, covered: np.ndarray
     return b"".join(out).decode("utf-8").strip()
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
-    """``docs`` (every column, plus removed_words) with aligned common blocks deleted from the later document.
+def dedup_lines(spark: SparkSession, docs: DataFrame, min_block: int = MIN_BLOCK, count: str | None = "removed_words") -> DataFrame:
+    """``docs`` (every column, plus ``count``) with aligned common blocks deleted from the later document.
 
-    n_chars, if there, is counted anew for a changed text. A document that loses every word is
-    dropped; one that was empty or NULL before stays as it was. Rows with a NULL doc_id stay
+    ``count`` names the column that counts deleted words; one of this name that ``docs`` has is replaced, None adds no
+    column. n_chars, if there, is counted anew for a changed text. A document that loses every word is
+    dropped; one that was empty or NULL before stays as it was. Long texts are aligned whole. Rows with a NULL doc_id stay
     unchanged. Rows that repeat a doc_id are one document, not compared with each other. Of
-    documents with equal texts the smallest doc_id keeps it. An empty table gives no rows.
+    documents with equal texts the smallest doc_id keeps it. An empty table gives no rows; other columns, whatever
+    their names, stay.
     """
-    pairs = c.materialize(spark, overlapping_pairs(spark, docs, min_block))
+    shared = _shared_marks(spark, docs, min_block)
+    pairs = c.materialize(spark, overlapping_pairs(spark, docs, min_block, shared))
     firsts = c.materialize(spark, pairs.select("v").distinct())
-    words = c.by_ids(c.id_text(docs).where("doc_id is not null"), firsts, "left_semi").mapInArrow(_words_batches, "v bigint, lines array<int>, firsts array<int>, words array<int>").dropDuplicates(["v"])
+    words = _with_marks(docs, c.by_ids(shared, firsts, "left_semi", key="__lx_u")).mapInArrow(_words_batches(min_block), "v bigint, lines array<int>, firsts array<int>, words array<int>").dropDuplicates(["v"])
     parts = pairs.join(words, "v").groupBy(F.col("u").alias("__lx_u")).agg(F.sort_array(F.collect_list(F.struct("v", "lines", "firsts", "words"))).alias("parts"))
     # columns go by position, so that any names will do
     names = docs.columns
@@ -308,6 +353,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_block: int = MIN_BLOCK
         old = F.col(f"row.c{i}") if n != "text" else F.col("text")
         if n == "n_chars":
             old = F.when(F.col("removed_words") > 0, F.length("text")).otherwise(old)
-        if n != "removed_words":
+        if n != count:
             cols.append(old.cast(flat.schema[i].dataType).alias(n))
-    return out.select(*cols, "removed_words")
+    return out.select(*cols, *([F.col("removed_words").alias(count)] if count else []))

@@ -190,6 +190,24 @@ def test_line_dedup_first_holders_of_parts(spark):
     assert all(got[d].removed_words == 0 for d in (*range(6), 10, 20))
 
 
+def test_line_dedup_later_holders(spark):
+    """Two halves of a passage are first held apart; the third holder of the whole keeps it, the fourth loses it."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, f"one. {a}. eins"), (2, f"two. {b}. zwei"), (3, f"three. {a}. {b}. drei"), (4, f"four. {a}. {b}. vier")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d].removed_words for d in (1, 2, 3, 4)] == [0, 0, 0, 60] and words(got[4].text) == ["four", "vier"]
+
+
+def test_line_dedup_parts_of_long_holders(spark):
+    """Of a long first holder only what can be shared is sent; blocks at its ends and next to each other are found."""
+    rng = np.random.default_rng(8)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    p, q, r, t = own(45), own(50), own(60), own(70)
+    rows = [(1, f"{p} {own(5000)}. {q} {own(3)} {r} {own(9000)} {t}"), (2, f"{own(5)} {q} {own(4)} {r}. {own(5)}"), (3, f"{t} {own(6)} {p}"), (4, f"{p}"), (5, own(300))]
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: x.removed_words for d, x in got.items()} == {1: 0, 2: 110, 3: 115, 5: 0}
+
+
 def test_line_dedup_is_whole(spark, docs, texts):
     rows = {r.doc_id: r for r in line_dedup.dedup_lines(spark, docs).collect()}
     k, seen = line_dedup.MIN_BLOCK, set()

@@ -152,3 +152,14 @@ def test_stages(spark, docs, none, k):
         out.collect()
         if k < 4:
             assert out.columns == d.columns
+            kept = stage(spark, d.withColumn("removed_words", F.lit("77")), SF).select("removed_words").distinct().collect()
+            assert [r[0] for r in kept] in ([], ["77"])
+
+
+@pytest.mark.parametrize("table", ["labels", "benchmark"])
+def test_stages_without_labels_or_items(spark, docs, tmp_path, table):
+    kinds = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    spark.createDataFrame([], kinds[table]).write.parquet(f"{tmp_path}/{table}.parquet")
+    k = 0 if table == "labels" else 3
+    got = corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path))
+    assert got.count() == (len(ROWS) - 3 if k == 0 else len(ROWS))  # texts that are NULL or empty are not good
