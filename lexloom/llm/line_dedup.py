@@ -32,6 +32,9 @@ from lexloom.llm import _common as c
 
 #: Production parameter: words of a block that is deleted.
 MIN_BLOCK = 40
+#: To find marks that many documents have: one in so many documents is looked at, so many of these have it at least, so many
+#: marks are kept at most. Groups of the documents with a hot block.
+HOT_SAMPLE, HOT_LEAST, HOT_MOST, SALTS = 128, 64, 200_000, 64
 _CUT = np.uint64(15)
 _BREAK = np.zeros(256, bool)
 for _ch in b"\n\r.!?":
@@ -89,16 +92,17 @@ def _block_rows(x: c.Words, block: int) -> tuple[np.ndarray, np.ndarray]:
     return at, row[at]
 
 
-def _distinct(h: np.ndarray, doc: np.ndarray, name: str) -> pa.RecordBatch:
+def _distinct(h: np.ndarray, doc: np.ndarray, hot: np.ndarray, name: str) -> pa.RecordBatch:
     order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
+    h, doc, hot = h[order], doc[order], hot[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(doc[new], pa.int64())], [name, "doc_id"])
+    return pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(doc[new], pa.int64()), pa.array(hot[new])], [name, "doc_id", "hot"])
 
 
-def _mark_batches(block: int):
+def _mark_batches(block: int, hot=None):
     def run(batches):
+        often = hot.value if hot else np.zeros(0, np.uint64)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = c.utf8(batch.column("text"), lower=False)
@@ -109,55 +113,77 @@ def _mark_batches(block: int):
                     h = _marks(x.hash, block)[at]
                     new = np.ones(len(h), bool)
                     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                    yield _distinct(h[new], ids[i:j][row[new]], "mark")
+                    yield _distinct(h[new], ids[i:j][row[new]], np.isin(h[new], often), "mark")
 
     return run
 
 
-def _shared_windows(x: c.Words, marks: pa.Array, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words, and rows, of the windows whose mark is among the marks that their own row shares."""
+def _shared_windows(x: c.Words, marks: pa.Array, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, rows and marks of the windows whose mark is among the marks that their own row shares."""
     at, row = _block_rows(x, block)
     if not len(at):
-        return at, row
+        return at, row, np.zeros(0, np.uint64)
     salt = c.mix(np.arange(1, len(marks) + 1, dtype=np.uint64))  # a mark counts for its own document
     theirs = np.repeat(salt, pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))
-    ok = np.isin(_marks(x.hash, block)[at] ^ salt[row], marks.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ theirs)
-    return at[ok], row[ok]
+    own = _marks(x.hash, block)[at]
+    ok = np.isin(own ^ salt[row], marks.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ theirs)
+    return at[ok], row[ok], own[ok]
 
 
-def _block_batches(block: int):
+def _block_batches(block: int, hot):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = c.utf8(batch.column("text"), lower=False)
             for i, j in c.chunks(offsets):
                 x = Lines(data, offsets[i : j + 1])
-                at, row = _shared_windows(x, batch.column("marks").slice(i, j - i), block)
+                at, row, own = _shared_windows(x, batch.column("marks").slice(i, j - i), block)
                 if len(at):
-                    yield _distinct(_grams(x.hash, block)[at], ids[i:j][row], "block")
+                    yield _distinct(_grams(x.hash, block)[at], ids[i:j][row], np.isin(own, hot.value), "block")
 
     return run
 
 
-def _shared_marks(spark: SparkSession, docs: DataFrame, block: int) -> DataFrame:
+def _hot_marks(spark: SparkSession, docs: DataFrame, block: int):
+    """Marks that some ten-thousandth of all documents or more have, as one in HOT_SAMPLE of the documents shows: a sorted
+    array, whose size the documents' mean length bounds, for all tasks. It decides where rows go and never what is found."""
+    some = c.id_text(docs).where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0)
+    n = some.count()
+    found = some.mapInArrow(_mark_batches(block), "mark bigint, doc_id bigint, hot boolean").groupBy("mark").count().where(F.col("count") >= max(HOT_LEAST, n // 10_000))
+    marks = np.array([r[0] for r in found.orderBy(F.desc("count"), "mark").limit(HOT_MOST).select("mark").collect()], np.int64)
+    return spark.sparkContext.broadcast(np.sort(marks.view(np.uint64)))
+
+
+def _shared_marks(spark: SparkSession, docs: DataFrame, block: int, hot) -> DataFrame:
     """(doc_id, marks): the marks of each document that another one has too."""
-    marks = c.id_text(docs).where("doc_id is not null").mapInArrow(_mark_batches(block), "mark bigint, doc_id bigint")
-    # first and last holder are aggregated before they are shuffled; a mark that a third of all documents has is no task's own
-    held = marks.groupBy("mark").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("v < last").select(F.col("mark").alias("__lx_m"))
-    shared = marks.join(held, F.col("mark") == F.col("__lx_m"), "left_semi")
+    marks = c.id_text(docs).where("doc_id is not null").mapInArrow(_mark_batches(block, hot), "mark bigint, doc_id bigint, hot boolean")
+    # a hot mark is known to be shared: its rows need not meet, and are spread
+    one = Window.partitionBy("mark", F.when(F.col("hot"), F.col("doc_id")))
+    shared = marks.select("doc_id", "mark", "hot", F.min("doc_id").over(one).alias("v"), F.max("doc_id").over(one).alias("last")).where("hot or v < last")
     return c.materialize(spark, shared.groupBy(F.col("doc_id").alias("__lx_u")).agg(F.collect_set("mark").alias("marks")))
 
 
-def _with_marks(docs: DataFrame, shared: DataFrame) -> DataFrame:
+def _with_marks(docs: DataFrame, shared: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, marks) of the documents, or of ``ids`` among them, that share any."""
     texts = c.id_text(docs).where("doc_id is not null")
+    texts = texts if ids is None else c.by_ids(texts, ids, "left_semi")
     return texts.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("__lx_u")).select("doc_id", "text", "marks")
 
 
-def overlapping_pairs(spark: SparkSession, docs: DataFrame, min_block: int = MIN_BLOCK, shared: DataFrame | None = None) -> DataFrame:
-    """(u, v): a document u and an earlier one v that is the first holder of a block of ``min_block`` of its words."""
-    shared = _shared_marks(spark, docs, min_block) if shared is None else shared
-    blocks = _with_marks(docs, shared).mapInArrow(_block_batches(min_block), "block bigint, doc_id bigint")
-    return blocks.select(F.col("doc_id").alias("u"), F.min("doc_id").over(Window.partitionBy("block")).alias("v")).where("v < u").distinct()
+def overlapping_pairs(spark: SparkSession, docs: DataFrame, min_block: int, shared: DataFrame, hot) -> DataFrame:
+    """(u, v): a document u and an earlier one v that is the first holder of a block of ``min_block`` of its words.
+
+    Of a hot block each of SALTS groups of documents has a first holder, and these are paired with the first of all.
+    """
+    blocks = _with_marks(docs, shared).mapInArrow(_block_batches(min_block, hot), "block bigint, doc_id bigint, hot boolean")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
+    first = blocks.withColumn("salt", salt).select("block", "hot", F.col("doc_id").alias("u"), F.min("doc_id").over(Window.partitionBy("block", "salt")).alias("v"))
+    if not len(hot.value):
+        return first.where("v < u").select("u", "v").distinct()
+    # pairs, and of hot blocks the groups' first holders with themselves, which are few
+    near = c.materialize(spark, first.where("v < u or hot").select("u", "v", F.when(F.col("u") == F.col("v"), F.col("block")).alias("block")).distinct())
+    tops = near.where("u = v").select("u", F.min("u").over(Window.partitionBy("block")).alias("v")).where("v < u")
+    return near.where("v < u").select("u", "v").union(tops).distinct()
 
 
 #: Stands between two parts of a document.
@@ -173,7 +199,7 @@ def _words_batches(block: int):
             data, offsets = c.utf8(batch.column("text"), lower=False)
             for i, j in c.chunks(offsets):
                 x = Lines(data, offsets[i : j + 1])
-                at, _ = _shared_windows(x, batch.column("marks").slice(i, j - i), block)
+                at, _, _ = _shared_windows(x, batch.column("marks").slice(i, j - i), block)
                 n = len(x.hash)
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, at, 1)
@@ -334,10 +360,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_block: int = MIN_BLOCK
     documents with equal texts the smallest doc_id keeps it. An empty table gives no rows; other columns, whatever
     their names, stay.
     """
-    shared = _shared_marks(spark, docs, min_block)
-    pairs = c.materialize(spark, overlapping_pairs(spark, docs, min_block, shared))
+    hot = _hot_marks(spark, docs, min_block)
+    shared = _shared_marks(spark, docs, min_block, hot)
+    pairs = c.materialize(spark, overlapping_pairs(spark, docs, min_block, shared, hot))
     firsts = c.materialize(spark, pairs.select("v").distinct())
-    words = _with_marks(docs, c.by_ids(shared, firsts, "left_semi", key="__lx_u")).mapInArrow(_words_batches(min_block), "v bigint, lines array<int>, firsts array<int>, words array<int>").dropDuplicates(["v"])
+    words = _with_marks(docs, shared, firsts).mapInArrow(_words_batches(min_block), "v bigint, lines array<int>, firsts array<int>, words array<int>").dropDuplicates(["v"])
     parts = pairs.join(words, "v").groupBy(F.col("u").alias("__lx_u")).agg(F.sort_array(F.collect_list(F.struct("v", "lines", "firsts", "words"))).alias("parts"))
     # columns go by position, so that any names will do
     names = docs.columns

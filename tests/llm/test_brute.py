@@ -190,6 +190,21 @@ def test_line_dedup_first_holders_of_parts(spark):
     assert all(got[d].removed_words == 0 for d in (*range(6), 10, 20))
 
 
+def test_line_dedup_hot_blocks(spark, monkeypatch):
+    """A passage that most documents have, known to be hot, gives what one that is not known to be hot gives."""
+    rng = np.random.default_rng(11)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    hot, warm = own(60), own(45)
+    rows = [(i, f"{own(20)} {hot}. {own(i % 7)} {warm if i % 9 == 0 else own(10)}") for i in range(400)] + [(1000 + i, own(80)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    get = lambda: {r.doc_id: (r.text, r.removed_words) for r in line_dedup.dedup_lines(spark, df).collect()}
+    cold = get()
+    monkeypatch.setattr(line_dedup, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", 30)
+    assert len(line_dedup._hot_marks(spark, df, line_dedup.MIN_BLOCK).value)
+    assert get() == cold and all(cold[i][1] == (0 if i == 0 else 105 if i % 9 == 0 else 60) for i in range(400))
+
+
 def test_line_dedup_later_holders(spark):
     """Two halves of a passage are first held apart; the third holder of the whole keeps it, the fourth loses it."""
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
