@@ -262,6 +262,9 @@ def _longest_increasing(values: list[int]) -> list[int]:
 
 def align(lines, firsts, words, other_lines, other_firsts, other_words, covered, min_block: int = MIN_BLOCK) -> None:
     """Mark in ``covered`` (a flag per word) the words of blocks of ``min_block`` or more equal words."""
+    if len(words) >= min_block and len(other_words) in (len(words), len(words) + 1) and (words == other_words[-len(words) :]).all():
+        covered[:] = True  # a copy: one block
+        return
     place: dict[int, int] = {}
     times: dict[int, int] = {}
     for j, h in enumerate(other_lines.tolist()):
