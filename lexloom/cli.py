@@ -16,7 +16,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="lexloom")
     p.add_argument("--input", required=True, help="a dump, .xml or .xml.bz2")
     p.add_argument("--index", help="the index of a multistream dump: decodes it in parallel")
-    p.add_argument("--output", help="folder for text files; needed without --stats")
+    p.add_argument("--output", help="folder for text files, or - for the standard output; needed without --stats")
+    p.add_argument("--title", help="only the page of this title")
     p.add_argument("--format", choices=sinks.FORMATS, default="text")
     p.add_argument("--engine", choices=sinks.ENGINES, default="ast")
     p.add_argument("--stats", action="store_true", help="print statistics and write nothing")
@@ -32,11 +33,21 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return a
 
 
+def _print(out, fmt: str, failing) -> int:
+    """Lines to the standard output in dump order, a partition at a time; the number of pages that fail."""
+    n = 0
+    for row in sinks.lines_of(out.withColumn("__f", failing), fmt, "__f").toLocalIterator(prefetchPartitions=True):
+        print(row.value)
+        n += bool(row[0])
+    return n
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = arguments(argv)
     spark = spark or SparkSession.builder.appName("lexloom").getOrCreate()
     pages = dump.read_multistream(spark, a.input, a.index) if a.index else dump.read_dump(spark, a.input)
-    out = sinks.extract(P.articles(pages), a.engine, a.format)
+    pages = P.articles(pages)
+    out = sinks.extract(pages.where(F.col("title") == a.title) if a.title is not None else pages, a.engine, a.format)
     ast = a.engine == "ast"
     d = F.col("diagnostics")
     fails = F.count_if(P.fails(d, a.fail_on)) if a.fail_on else F.count_if(F.lit(False))
@@ -45,6 +56,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         s = P.stats(gate, diagnostics="diagnostics" if ast else None).first()
         print(f"pages={s.pages} clean={s.clean} ({s.clean_pct:.1f}%)" + (f" zero-diag={s.zero_diag} ({s.zero_diag_pct:.1f}%) warned={s.warned} unsupported={s.unsupported}" if ast else ""), file=sys.stderr)
         failing = gate.agg(fails).first()[0] if a.fail_on else 0
+    elif a.output == "-":
+        failing = _print(out, a.format, P.fails(d, a.fail_on) if a.fail_on else F.lit(False))
     elif ast:
         seen = Observation()  # counted while the pages are written, so each is parsed once
         sinks.write(out.observe(seen, F.count_if(P.has_severity(d, "warning")).alias("w"), F.count_if(P.has_unsupported(d)).alias("u"), fails.alias("f")), a.output, a.format, a.one_file)

@@ -112,6 +112,11 @@ def test_sample_dump_and_cli(spark, tmp_path, capsys):
     assert sorted(r["title"] for r in rows) == ["A", "B", "C"]
     assert cli.main(["--input", src, "--output", str(tmp_path / "t"), "--engine", "strip", "--one-file"], spark) == 0
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["clean", "warned", ""]
+    capsys.readouterr()
+    assert cli.main(["--input", src, "--output", "-", "--fail-on", "unsupported"], spark) == 1
+    assert capsys.readouterr().out.splitlines() == ["clean", "warned", ""]
+    assert cli.main(["--input", src, "--output", "-", "--title", "B", "--format", "markdown"], spark) == 0
+    assert capsys.readouterr().out == "# B\n\nwarned\n\n"
     for bad in (["--format", "sections", "--engine", "strip"], ["--format", "markdown", "--stats"], ["--engine", "strip", "--fail-on", "warning"]):
         with pytest.raises(SystemExit):
             cli.main(["--input", src, "--output", "x", *bad], spark)
@@ -126,3 +131,39 @@ def test_stream(spark, tmp_path):
     q = S.running_stats(S.read_pages(spark, src)).writeStream.format("memory").queryName("st").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("st").first().pages == 2
+
+
+def test_scratch(spark, tmp_path, monkeypatch):
+    """The folder that the session names is used, one of its own for each application; tables go when they are discarded."""
+    import os
+
+    from lexloom.sources import scratch
+
+    def session(master, named):
+        context = type("C", (), {"applicationId": "app", "master": master})
+        return type("S", (), {"sparkContext": context, "conf": type("F", (), {"get": staticmethod(lambda *a: named)})})()
+
+    monkeypatch.setattr(scratch, "_FOLDERS", {})
+    with pytest.raises(ValueError):
+        scratch.folder(session("spark://host:7077", None))
+    named = scratch.folder(session("spark://host:7077", "hdfs://shared/dir/"))
+    assert named.startswith("hdfs://shared/dir/lexloom-app-") and scratch.folder(session("spark://host:7077", None)) == named
+
+    monkeypatch.setattr(scratch, "_FOLDERS", {spark.sparkContext.applicationId: str(tmp_path)})
+    df = scratch.materialize(spark, spark.range(5))
+    assert df.count() == 5 and len(os.listdir(tmp_path)) == 1
+    scratch.discard(df)
+    scratch.discard(spark.range(1))
+    assert not [x for x in os.listdir(tmp_path) if not x.startswith(".")]
+
+
+def test_spread(spark, tmp_path):
+    """One row group is dealt to all cores; as many as there are cores stay where they are."""
+    from lexloom.sources import tables
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    spark.range(100).repartition(cores).write.parquet(str(tmp_path / "many.parquet"))
+    one, many = (tables.read(spark, str(tmp_path), t) for t in ("one", "many"))
+    assert one.rdd.getNumPartitions() == cores and one.count() == many.count() == 100
+    assert "RoundRobin" in one._jdf.queryExecution().toString() and "RoundRobin" not in many._jdf.queryExecution().toString()
