@@ -20,6 +20,7 @@ middle of other text.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,18 @@ _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-class Lines(c.Words):
-    """Words plus ``first``, the index of each line's first word, and ``line``, its hash; ``line_at``: row offsets."""
+class Lower(c.Words):
+    """Words of the text with its ASCII letters in lower case, which moves no byte."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         super().__init__(_ASCII_LOWER[data[int(offsets[0]) : int(offsets[-1])]], offsets - offsets[0])
+
+
+class Lines(Lower):
+    """Words plus ``first``, the index of each line's first word, and ``line``, its hash; ``line_at``: row offsets."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data, offsets)
         n = len(self.hash)
         ends = np.concatenate([[0], np.cumsum(_BREAK[self.data])])
         begins = np.zeros(n + 1, bool)
@@ -107,7 +115,7 @@ def _mark_batches(block: int, hot=None):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = c.utf8(batch.column("text"), lower=False)
             for i, j in c.chunks(offsets):
-                x = Lines(data, offsets[i : j + 1])
+                x = Lower(data, offsets[i : j + 1])
                 at, row = _block_rows(x, block)
                 if len(at):
                     h = _marks(x.hash, block)[at]
@@ -136,7 +144,7 @@ def _block_batches(block: int, hot):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = c.utf8(batch.column("text"), lower=False)
             for i, j in c.chunks(offsets):
-                x = Lines(data, offsets[i : j + 1])
+                x = Lower(data, offsets[i : j + 1])
                 at, row, own = _shared_windows(x, batch.column("marks").slice(i, j - i), block)
                 if len(at):
                     yield _distinct(_grams(x.hash, block)[at], ids[i:j][row], np.isin(own, hot.value), "block")
@@ -260,44 +268,59 @@ def _longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _cover(words, other_words, a: int, last: int, shift: int, covered, min_block: int) -> None:
+    """Mark the blocks of equal words that anchors at the words ``a`` to ``last`` grow to, all ``shift`` words further on in
+    the other document: what lies between the anchors is compared once."""
+    low = a - _run(words[:a][::-1], other_words[: a + shift][::-1])
+    high = last + _run(words[last:], other_words[last + shift :])
+    if high - low < min_block:
+        return
+    unlike = np.flatnonzero(words[a:last] != other_words[a + shift : last + shift]) + a
+    edge = np.concatenate([[low - 1], unlike, [high]])
+    for k in np.flatnonzero(np.diff(edge) > min_block):
+        covered[edge[k] + 1 : edge[k + 1]] = True
+
+
 def align(lines, firsts, words, other_lines, other_firsts, other_words, covered, min_block: int = MIN_BLOCK) -> None:
     """Mark in ``covered`` (a flag per word) the words of blocks of ``min_block`` or more equal words."""
     if len(words) >= min_block and len(other_words) in (len(words), len(words) + 1) and (words == other_words[-len(words) :]).all():
         covered[:] = True  # a copy: one block
         return
-    place: dict[int, int] = {}
-    times: dict[int, int] = {}
-    for j, h in enumerate(other_lines.tolist()):
-        place.setdefault(h, j)
-        times[h] = times.get(h, 0) + 1
+    theirs = other_lines.tolist()
+    times = Counter(theirs)
+    place = dict(zip(reversed(theirs), range(len(theirs) - 1, -1, -1)))  # where each is first
     todo = [(i, h) for i, h in enumerate(lines.tolist()) if h in place]
     while todo:
-        todo = [(i, h) for i, h in todo if not covered[firsts[i]]]
-        count: dict[int, int] = {}
-        head: dict[int, int] = {}
-        for i, h in todo:
-            count[h] = count.get(h, 0) + 1
-            head.setdefault(h, i)
+        done = covered[firsts].tolist()
+        todo = [(i, h) for i, h in todo if not done[i]]
+        count = Counter([h for _, h in todo])
         # lines that are unique on both sides; where there are none, the first of each
-        anchors = [(i, h) for i, h in todo if count[h] == 1 and times[h] == 1] or [(i, h) for h, i in head.items()]
+        anchors = [(i, h) for i, h in todo if count[h] == 1 and times[h] == 1]
+        if not anchors:
+            head: dict[int, int] = {}
+            for i, h in todo:
+                head.setdefault(h, i)
+            anchors = [(i, h) for h, i in head.items()]
         if not anchors:
             break
         chain = [anchors[k] for k in _longest_increasing([place[h] for _, h in anchors])]
         spent = {i for i, _ in chain}
-        for i, h in chain:
-            a, b = int(firsts[i]), int(other_firsts[place[h]])
-            if covered[a]:
-                continue
-            ahead = _run(words[a:], other_words[b:])
-            behind = _run(words[:a][::-1], other_words[:b][::-1])
-            if ahead + behind >= min_block:
-                covered[a - behind : a + ahead] = True
+        at = firsts[[i for i, _ in chain]]
+        shift = other_firsts[[place[h] for _, h in chain]] - at
+        ends = np.append(np.flatnonzero(shift[1:] != shift[:-1]), len(at) - 1)  # of anchors in a row with one shift
+        begin = 0
+        for end in ends.tolist():
+            _cover(words, other_words, int(at[begin]), int(at[end]), int(shift[begin]), covered, min_block)
+            begin = end + 1
         todo = [(i, h) for i, h in todo if i not in spent]
     if covered.all():
         return
     mine, theirs = (_grams(x.view(np.uint32).astype(np.uint64), min_block) for x in (words, other_words))
+    if not len(mine) or not len(theirs):
+        return
+    theirs.sort()
     edge = np.zeros(len(words) + 1, np.int64)
-    hit = np.flatnonzero(np.isin(mine, theirs))
+    hit = np.flatnonzero(theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine)
     edge[hit] += 1
     edge[hit + min_block] -= 1
     covered |= np.cumsum(edge[:-1]) > 0
@@ -306,31 +329,32 @@ def align(lines, firsts, words, other_lines, other_firsts, other_words, covered,
 def _cut_batches(min_block: int):
     def run(batches):
         for batch in batches:
-            data, offsets = c.utf8(batch.column("text"), lower=False)
-            parts = batch.column("parts")
-            text, gone = [], np.zeros(len(batch), np.int64)
-            for i, j in c.chunks(offsets):
-                if parts.slice(i, j - i).null_count == j - i:
-                    text += batch.column("text").slice(i, j - i).to_pylist()
-                    continue
-                x = Lines(data, offsets[i : j + 1])
-                for r in range(i, j):
-                    mine = parts[r]
-                    if not mine.is_valid:
-                        text.append(batch.column("text")[r].as_py())
-                        continue
-                    k = r - i
-                    w0, w1, l0, l1 = x.at[k], x.at[k + 1], x.line_at[k], x.line_at[k + 1]
-                    covered = np.zeros(w1 - w0, bool)
-                    lines, firsts, words = _low(x.line[l0:l1]), x.first[l0:l1] - w0, _low(x.hash[w0:w1])
-                    for p in mine.values:  # ordered by the earlier document's id
-                        if not covered.all():
-                            align(lines, firsts, words, *(p[n].values.to_numpy() for n in ("lines", "firsts", "words")), covered, min_block)
-                    gone[r] = covered.sum()
-                    raw = data[offsets[r] : offsets[r + 1]].tobytes()
-                    base = x.offsets[k]
-                    text.append(_without(raw, x.start[w0:w1] - base, x.end[w0:w1] - base, covered))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string()), pa.array(gone)], ["row", "text", "removed_words"])
+            text, parts = batch.column("text").cast(pa.string()), batch.column("parts")
+            gone = np.zeros(len(batch), np.int64)
+            paired = parts.is_valid()  # only their words are looked for
+            rows = np.flatnonzero(paired.to_numpy(zero_copy_only=False))
+            if len(rows):
+                data, offsets = c.utf8(text.filter(paired), lower=False)
+                # the flat arrays of all parts, of which each row has a stretch
+                part_at, all_parts = parts.offsets.to_numpy(), parts.values
+                fields = [all_parts.field(n) for n in ("lines", "firsts", "words")]
+                flat = [(f.offsets.to_numpy(), f.values.to_numpy()) for f in fields]
+                cut = []
+                for i, j in c.chunks(offsets):
+                    x = Lines(data, offsets[i : j + 1])
+                    for k, r in enumerate(rows[i:j]):
+                        w0, w1, l0, l1 = x.at[k], x.at[k + 1], x.line_at[k], x.line_at[k + 1]
+                        covered = np.zeros(w1 - w0, bool)
+                        lines, firsts, words = _low(x.line[l0:l1]), x.first[l0:l1] - w0, _low(x.hash[w0:w1])
+                        for p in range(part_at[r], part_at[r + 1]):  # ordered by the earlier document's id
+                            if not covered.all():
+                                align(lines, firsts, words, *(v[o[p] : o[p + 1]] for o, v in flat), covered, min_block)
+                        gone[r] = covered.sum()
+                        raw = data[offsets[i + k] : offsets[i + k + 1]].tobytes()
+                        base = x.offsets[k]
+                        cut.append(_without(raw, x.start[w0:w1] - base, x.end[w0:w1] - base, covered))
+                text = pc.replace_with_mask(text, paired, pa.array(cut, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), text, pa.array(gone)], ["row", "text", "removed_words"])
 
     return run
 

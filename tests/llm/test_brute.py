@@ -235,6 +235,58 @@ def test_line_dedup_is_whole(spark, docs, texts):
         assert ascii_words(rows[d].text if d in rows else "") == [x for i, x in enumerate(w) if i not in again]
 
 
+def test_line_dedup_reads_what_it_needs(monkeypatch):
+    """Only texts that have a pair are taken apart to be cut, whatever slice of a table a batch is, and marks need no lines."""
+    seen, plain = [], line_dedup.Lines
+    monkeypatch.setattr(line_dedup, "Lines", lambda data, offsets: seen.append(int(offsets[-1] - offsets[0])) or plain(data, offsets))
+    shared = " ".join(f"s{i}" for i in range(50))
+    text = [f"own{i} words of {i}" for i in range(40)] + [None, ""]
+    text[17], text[23] = f"before it. {shared}. after it", f"{shared} ends"
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(42), pa.int64()), "text": pa.array([t or "" for t in text])})
+    rows = [r for b in line_dedup._mark_batches(40)([docs]) for r in b.to_pylist()]
+    assert {r["doc_id"] for r in rows} == {17, 23} and not seen
+    x = plain(*line_dedup.c.utf8(pa.array([shared]), lower=False))
+    part = {"v": 3, "lines": line_dedup._low(x.line).tolist(), "firsts": x.first.tolist(), "words": line_dedup._low(x.hash).tolist()}
+    kind = pa.list_(pa.struct([("v", pa.int64()), *((n, pa.list_(pa.int32())) for n in ("lines", "firsts", "words"))]))
+    parts = pa.array([[part] if i == 17 else [{**part, "words": [1], "lines": [2], "firsts": [0]}, part] if i == 23 else None for i in range(42)], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42)), pa.array(text), parts], ["row", "text", "parts"])
+    want = [(i, "before it. after it" if i == 17 else "ends" if i == 23 else t, 50 if i in (17, 23) else 0) for i, t in enumerate(text)]
+    for a, b in ((0, 42), (5, 42), (18, 24), (24, 42)):
+        seen.clear()
+        got = [r for y in line_dedup._cut_batches(40)([batch.slice(a, b - a)]) for r in y.to_pylist()]
+        assert [(r["row"], r["text"], r["removed_words"]) for r in got] == want[a:b]
+        assert sum(seen) == sum(len(text[i]) for i in (17, 23) if a <= i < b)
+
+
+def test_align_compares_once(monkeypatch):
+    """Anchors with one shift are compared in one go, and what is covered equals brute force."""
+    rng, calls, run = np.random.default_rng(5), [], line_dedup._run
+    monkeypatch.setattr(line_dedup, "_run", lambda a, b: calls.append(1) or run(a, b))
+
+    def both(mine, other, k):
+        x, y = (line_dedup.Lines(*line_dedup.c.utf8(pa.array([". ".join(t)]), lower=False)) for t in (mine, other))
+        low, covered = line_dedup._low, np.zeros(len(x.hash), bool)
+        line_dedup.align(low(x.line), x.first, low(x.hash), low(y.line), y.first, low(y.hash), covered, k)
+        a, b = (words(" ".join(t)) for t in (mine, other))
+        have = {tuple(b[i : i + k]) for i in range(len(b) - k + 1)}
+        hit = {i + j for i in range(len(a) - k + 1) if tuple(a[i : i + k]) in have for j in range(k)}
+        assert np.flatnonzero(covered).tolist() == sorted(hit)
+        return len(hit)
+
+    own = lambda: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 8))
+    base = [own() for _ in range(300)]
+    edited = [t if i % 3 else "x" + t for i, t in enumerate(base)]
+    assert both(edited, base, 40) == 0 and len(calls) < 10
+    found = 0
+    for _ in range(150):
+        lines = [own() for _ in range(12)]
+        mine = [lines[i] if rng.random() < 0.8 else own() for i in rng.integers(0, 12, rng.integers(0, 30))]
+        other = [lines[i] for i in rng.integers(0, 12, rng.integers(0, 30))]
+        at = int(rng.integers(0, len(mine) + 1))
+        found += both(mine[:at] + lines + mine[at:], other + lines[3:] + lines[:5], int(rng.choice([8, 20, 40, 90]))) > 0
+    assert found > 100
+
+
 def test_words_of_other_scripts():
     from lexloom.llm import _common as c
 
