@@ -8,17 +8,23 @@ from __future__ import annotations
 
 import bz2
 import io
-import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lexloom.sources import scratch
+
 RAW = "title string, ns string, redirect struct<_title:string>, revision array<struct<text:array<string>>>"
 PAGES = "ord bigint, title string, namespace int, redirect boolean, text string"
 #: Compressed bytes that one task of an indexed read decodes.
 RANGE_BYTES = 32 << 20
+#: Bytes that the driver holds while it appends files.
+COPY_BYTES = 4 << 20
 
 
 def _checked(raw: DataFrame) -> DataFrame:
@@ -107,7 +113,7 @@ class _Reader(DataSourceReader):
         self.starts = sorted({0, *starts})
 
     def partitions(self) -> list[InputPartition]:
-        out, total, begin = [], os.path.getsize(self.path), 0
+        out, total, begin = [], scratch.size_of(self.path), 0
         for end in [*self.starts[1:], total]:
             if end - begin >= self.range_bytes or end == total:
                 out.append(_Range(len(out), begin, end))
@@ -122,9 +128,9 @@ class _Reader(DataSourceReader):
 
 def decode_range(path: str, start: int, end: int) -> bytes:
     """The text of the bz2 streams in a range of bytes; a damaged or cut-off stream is an error that names the range."""
-    with open(path, "rb") as f:
-        f.seek(start)
-        raw = f.read(end - start)
+    fs, inner = scratch.file_system(path)
+    with fs.open_input_file(inner) as f:
+        raw = f.read_at(end - start, start)
     out = io.BytesIO()
     try:
         while raw:
@@ -155,7 +161,7 @@ def split_pages(data: bytes) -> Iterator[str]:
 def read_multistream(spark: SparkSession, dump_path: str, index_path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Pages of a multistream ``.bz2`` dump, decoded in parallel by its index; the same pages as :func:`read_dump`."""
     spark.dataSource.register(MultistreamSource)
-    starts = [r[0] for r in multistream_ranges(spark, index_path, os.path.getsize(dump_path)).select("start").collect()]
+    starts = [r[0] for r in multistream_ranges(spark, index_path, scratch.size_of(dump_path)).select("start").collect()]
     raw = spark.read.format("wikitext_multistream").option("path", dump_path).option("starts", ",".join(map(str, starts))).option("rangeBytes", str(range_bytes)).load()
     parsed = raw.select("ord", F.from_xml("xml", RAW, {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}).alias("p"))
     return _checked(parsed.select("ord", "p.*"))
@@ -197,34 +203,64 @@ def write_dump(pages: DataFrame, path: str, compression: str = "none") -> None:
 
 
 def write_multistream(pages: DataFrame, dump_path: str, index_path: str, pages_a_stream: int = 100) -> None:
-    """A multistream ``.bz2`` dump and its index. Streams are compressed in tasks; the file is one, so the driver appends
-    them, a partition at a time."""
+    """A multistream ``.bz2`` dump and its index, each one file of any file system. Tasks compress their streams into files
+    of the shared folder and say how long they are; the driver appends the files, a few MB at a time, and no row of a page
+    reaches it."""
+    spark = pages.sparkSession
+    parts, lines = scratch.new_path(spark), scratch.new_path(spark)
 
     def compress(batches):
         import pyarrow as pa
 
-        rows: list[tuple[str, str]] = []
-
-        def stream():
-            packed = bz2.compress("".join(x + "\n" for _, x in rows).encode("utf-8"))
-            return pa.record_batch([pa.array([packed], pa.binary()), pa.array([[t for t, _ in rows]], pa.list_(pa.string()))], names=["stream", "titles"])
-
-        for b in batches:
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows.append(row)
-                if len(rows) == pages_a_stream:
-                    yield stream()
-                    rows.clear()
-        if rows:
-            yield stream()
+        fs, folder = scratch.file_system(parts)
+        fs.create_dir(folder, recursive=True)
+        file = f"{uuid.uuid4().hex}.bz2"  # of this attempt: only the rows of one that succeeds name theirs
+        number, at, before = TaskContext.get().partitionId(), 0, 0
+        rows: list[str] = []
+        titles: list[str] = []
+
+        def stream(out):
+            nonlocal at, before
+            packed = bz2.compress("".join(x + "\n" for x in rows).encode("utf-8"))
+            out.write(packed)
+            told = pa.record_batch([pa.array([number]), pa.array([file]), pa.array([at]), pa.array([at + len(packed)]), pa.array([before]), pa.array([titles], pa.list_(pa.string()))], names=["part", "file", "start", "end", "before", "titles"])
+            at, before = at + len(packed), before + len(titles)
+            rows.clear()
+            titles.clear()
+            return told
+
+        with fs.open_output_stream(f"{folder}/{file}", compression=None) as out:
+            for b in batches:
+                for title, xml in zip(b.column(0), b.column(1)):  # one page at a time as a Python object
+                    titles.append(title.as_py())
+                    rows.append(xml.as_py())
+                    if len(rows) == pages_a_stream:
+                        yield stream(out)
+            if rows:
+                yield stream(out)
 
     xml = pages.select("title", page_xml(F.col("title"), F.col("namespace"), F.col("redirect"), F.col("text")).alias("x"))
-    number = 0
-    with open(dump_path, "wb") as data, open(index_path, "w", encoding="utf-8") as index:
-        data.write(bz2.compress(b"<mediawiki>\n"))
-        for row in xml.mapInArrow(compress, "stream binary, titles array<string>").toLocalIterator():
-            for title in row.titles:
-                number += 1
-                index.write(f"{data.tell()}:{number}:{title}\n")
-            data.write(row.stream)
-        data.write(bz2.compress(b"</mediawiki>\n"))
+    told = scratch.materialize(spark, xml.mapInArrow(compress, "part bigint, file string, start bigint, end bigint, before bigint, titles array<string>"))
+    head, tail = bz2.compress(b"<mediawiki>\n"), bz2.compress(b"</mediawiki>\n")
+    files = told.groupBy("part", "file").agg(F.max("end").alias("bytes"), F.sum(F.size("titles")).alias("pages")).orderBy("part").collect()
+    bases, at, before = [], len(head), 0
+    for f in files:
+        bases.append((f.part, at, before))
+        at, before = at + f.bytes, before + f.pages
+    with scratch.create(dump_path) as data:
+        data.write(head)
+        for f in files:
+            with scratch.open_file(f"{parts}/{f.file}") as part:
+                shutil.copyfileobj(part, data, COPY_BYTES)
+        data.write(tail)
+    base = F.broadcast(spark.createDataFrame(bases, "part bigint, at bigint, pages bigint"))
+    streams = told.join(base, "part").orderBy("part", "start").select((F.col("at") + F.col("start")).alias("offset"), (F.col("pages") + F.col("before") + 1).alias("first"), "titles")
+    entries = streams.select("offset", "first", F.posexplode("titles").alias("k", "title"))
+    entries.select(F.concat_ws(":", "offset", F.col("first") + F.col("k"), "title").alias("value")).write.text(lines)
+    with scratch.create(index_path) as index:
+        for name in scratch.files_of(lines):
+            with scratch.open_file(name) as part:
+                shutil.copyfileobj(part, index, COPY_BYTES)
+    for path in (parts, lines):
+        scratch.drop(spark, path)
+    scratch.discard(told)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
@@ -33,6 +36,45 @@ def new_path(spark: SparkSession) -> str:
     return f"{folder(spark)}/{uuid.uuid4().hex}"
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path within it. A path is as Hadoop has it, plain or with a scheme (``file:/x``,
+    ``file:///x``, ``hdfs://…``), and its characters are not escaped."""
+    if m := re.match(r"file:(?://[^/]*)?(/.*)", path, re.S):
+        return pafs.LocalFileSystem(), m.group(1)
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", path):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), os.path.abspath(path)
+
+
+def size_of(path: str) -> int:
+    """Bytes of a file."""
+    fs, inner = file_system(path)
+    info = fs.get_file_info(inner)
+    if not info.is_file:
+        raise FileNotFoundError(path)
+    return info.size
+
+
+def open_file(path: str):
+    """A file to read, as its bytes are."""
+    fs, inner = file_system(path)
+    return fs.open_input_stream(inner, compression=None)
+
+
+def create(path: str):
+    """A new file to write, in a folder that is made if need be."""
+    fs, inner = file_system(path)
+    fs.create_dir(os.path.dirname(inner), recursive=True)
+    return fs.open_output_stream(inner, compression=None)
+
+
+def files_of(path: str) -> list[str]:
+    """The part files that Spark wrote into a folder, in the order of its tasks."""
+    fs, inner = file_system(path)
+    names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(inner)) if x.is_file and x.base_name.startswith("part-"))
+    return [f"{path}/{x}" for x in names]
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a path, on whatever file system it is."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
