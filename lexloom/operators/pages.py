@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from lexloom.functions import arrow
 from lexloom.functions import metrics as M
 from lexloom.functions import wikitext as W
 from lexloom.operators import parser, render
@@ -209,10 +210,13 @@ def parse_udf(fields: Iterable[str]):
     if not fields or set(fields) - set(FIELDS):
         raise ValueError(f"fields must be some of {', '.join(FIELDS)}")
 
-    def run(column: pa.Array) -> pa.Array:
-        pages = [parser.parse(t or "") for t in column.to_pylist()]
+    def some(texts: list) -> pa.Array:
+        pages = [parser.parse(t or "") for t in texts]
         return pa.StructArray.from_arrays([_MAKE[f](pages) for f in fields], list(fields))
 
+    def run(column: pa.Array) -> pa.Array:
+        return arrow.over_slices(some, column)
+
     # declared so that no rule of the optimizer copies the call into a filter, where a page would be parsed again
     return arrow_udf(run, f"struct<{','.join(f'{f}:{FIELDS[f]}' for f in fields)}>").asNondeterministic()
 

@@ -3,9 +3,11 @@
 import bz2
 
 import duckdb
+import pyarrow as pa
 import pytest
 
-from lexloom.operators import parser, render, strip
+from lexloom.functions import arrow
+from lexloom.operators import pages, parser, render, strip
 from lexloom.sources import dump, scratch
 
 
@@ -62,3 +64,31 @@ def test_line_ends_are_trimmed():
     """What the engine does where nothing follows a blank: it goes, and a reference that stands for it stays."""
     assert strip.strip("* item \nx") == "item\nx" and strip.strip("* item <u></u>\nx") == "item \nx"
     assert render.plain(parser.parse("{|\n| w \n|}").nodes) == "w" and render.plain(parser.parse("Lead&#32;").nodes) == "Lead "
+
+
+def _pages() -> pa.Array:
+    return pa.array([None, "", "a [[b|c]]", "é {{t}}\n\n* x\n** [http://e.example y]", "{|\n| a || b\n|}\n c\n== H ==\nz" + " w" * 40, None, "'''q'''"] * 9, pa.string())
+
+
+def test_slices():
+    """Every row is in one slice, in order; a slice is within the bound or one long text."""
+    for column in (_pages(), _pages().slice(3, 30), pa.array([], pa.string()), pa.array([None, None], pa.string())):
+        got = list(arrow.slices(column, 60))
+        assert [t for x in got for t in x.to_pylist()] == column.to_pylist()
+        assert all(len(x) == 1 or sum(len((t or "").encode()) for t in x.to_pylist()) <= 60 for x in got if len(column))
+
+
+def test_no_batch_is_parsed_at_once(spark, monkeypatch):
+    """All fields are the same however a batch is sliced, and parsed pages are held for a slice only."""
+    fields = tuple(pages.FIELDS)
+    run = pages.parse_udf(fields).func
+    monkeypatch.setattr(arrow, "SLICE_BYTES", 1 << 20)
+    whole = run(_pages())
+    held = []
+    text = pages._MAKE["text"]
+    monkeypatch.setitem(pages._MAKE, "text", lambda ps: held.append(len(ps)) or text(ps))
+    monkeypatch.setattr(arrow.slices, "__defaults__", (100,))
+    cut = run(_pages())
+    assert len(held) > 9 and sum(held) == len(_pages()) and max(held) < len(_pages())
+    assert cut.type == whole.type and cut.to_pylist() == whole.to_pylist()
+    assert arrow.texts(len, _pages(), pa.int64()).to_pylist() == [None if t is None else len(t) for t in _pages().to_pylist()]
