@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udf
 
+from lexloom.functions import arrow
 from lexloom.operators import parser, render
 from lexloom.operators.pages import FIELDS, parse_udf
 from lexloom.operators.strip import decode, strip
@@ -13,7 +14,7 @@ from lexloom.operators.strip import decode, strip
 
 def _strings(f):
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else f(t) for t in column.to_pylist()], pa.string())
+        return arrow.texts(f, column, pa.string())
 
     return arrow_udf(run, "string")
 
@@ -22,7 +23,7 @@ def _sections():
     def run(column: pa.Array) -> pa.Array:
         from lexloom.operators.pages import _MAKE
 
-        return _MAKE["sections"]([parser.parse(t or "") for t in column.to_pylist()])
+        return arrow.over_slices(lambda ts: _MAKE["sections"]([parser.parse(t or "") for t in ts]), column)
 
     return arrow_udf(run, FIELDS["sections"])
 
@@ -33,7 +34,7 @@ def register(spark: SparkSession) -> None:
     from lexloom.functions.wikitext import RESIDUALS
 
     def clean(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else not any(m in t for m in RESIDUALS) for t in column.to_pylist()], pa.bool_())
+        return arrow.texts(lambda t: not any(m in t for m in RESIDUALS), column, pa.bool_())
 
     spark.udf.register("wiki_strip", _strings(strip))
     spark.udf.register("wiki_decode", _strings(decode))

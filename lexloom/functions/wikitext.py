@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from lexloom.functions import arrow
 from lexloom.operators import strip as python
 from lexloom.operators.strip import ENTITIES, TAG_REST
 
@@ -146,7 +147,7 @@ def _arrow(f):
     tower of Column expressions, whose lambdas are interpreted; a NULL text stays NULL."""
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else f(t) for t in column.to_pylist()], pa.string())
+        return arrow.texts(f, column, pa.string())
 
     return arrow_udf(run, "string").asNondeterministic()  # so that no filter evaluates it a second time
 
