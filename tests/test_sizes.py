@@ -92,3 +92,11 @@ def test_no_batch_is_parsed_at_once(spark, monkeypatch):
     assert len(held) > 9 and sum(held) == len(_pages()) and max(held) < len(_pages())
     assert cut.type == whole.type and cut.to_pylist() == whole.to_pylist()
     assert arrow.texts(len, _pages(), pa.int64()).to_pylist() == [None if t is None else len(t) for t in _pages().to_pylist()]
+
+
+def test_markdown_of_any_white_space_and_sign():
+    """White space collapses and signs are escaped as character by character; no text is translated letter by letter."""
+    assert {chr(i) for i in range(0x110000) if chr(i).isspace()} == set(strip.WS) | set(render._SEPARATORS)
+    for s, want in (("", ""), (" ", " "), ("a\xa0\n b ", "a b "), ("\x1ca  b\x1f", "\x1ca b\x1f"), (" a\0", " a�"), ("\x85", " ")):
+        assert render._collapse(s) == want
+    assert render.escape("\\&<*_[]`|#", False, render.HEADING) == "\\\\&amp;&lt;\\*\\_\\[\\]\\`\\|\\#"
